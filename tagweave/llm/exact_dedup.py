@@ -69,8 +69,7 @@ def content_sort(
         T.StructField("__edge_text", T.StringType()),
         *carried,
     ]
-    names, arrow_id, carried_names = [f.name for f in fields], pa.types, [f.name for f in carried]
-    del arrow_id
+    names, carried_names = [f.name for f in fields], [f.name for f in carried]
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a sorted partition with their runs. Of the run that is still open only ids, and carried values of its

@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, gam, mixing, quality_rules, token_store, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op4_gam_quality": gam.op4_gam_quality,
         "op5_content_sort": exact_dedup.op5_content_sort,
+        "op7_warc_bundles": warc.op7_warc_bundles,
+        "op8_repetition_rules": quality_rules.op8_repetition_rules,
+        "op9_token_store": token_store.op9_token_store,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.mix_sql(), "op5_content_sort": exact_dedup.exact_dedup_sql()}
+    return {"op3_mix_sources": mixing.mix_sql(), "op5_content_sort": exact_dedup.exact_dedup_sql(), "op7_warc_bundles": warc.warc_sql()}
