@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, gam, mixing, quality_rules, token_store, warc
+from . import bpe, exact_dedup, gam, minmax, mixing, quality_rules, token_store, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_gam_quality": gam.op4_gam_quality,
         "op5_content_sort": exact_dedup.op5_content_sort,
+        "op6_minmax_near_dedup": minmax.op6_minmax_near_dedup,
         "op7_warc_bundles": warc.op7_warc_bundles,
         "op8_repetition_rules": quality_rules.op8_repetition_rules,
         "op9_token_store": token_store.op9_token_store,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.mix_sql(), "op5_content_sort": exact_dedup.exact_dedup_sql(), "op7_warc_bundles": warc.warc_sql()}
+    return {"op3_mix_sources": mixing.mix_sql(), "op5_content_sort": exact_dedup.exact_dedup_sql(), "op6_minmax_near_dedup": minmax.near_dedup_sql(), "op7_warc_bundles": warc.warc_sql()}
