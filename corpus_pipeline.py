@@ -1,13 +1,55 @@
-"""Stages that make a training corpus of the table documents."""
+"""Stages that make a training corpus of the table documents.
+
+Each function takes (spark, docs, sf_dir); its result, written as Parquet and read again, is the next one's docs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagweave.llm import bpe, exact_dedup, gam, minmax, mixing
+from tagweave.llm.common import bounded, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the table labels, accepts."""
+    return gam.accepted(docs, gam.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with equal texts: the one with the largest doc_id."""
+    return exact_dedup.distinct_texts(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest doc_id."""
+    gone = written(minmax.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-gone")
+    return docs.join(bounded(gone, minmax.IDS), "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture of sources takes them."""
+    return mixing.mixture(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang and the ids of each text; round_trip tells whether decoding gives the text's bytes."""
+    rows = docs.select("doc_id", "source", "lang", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    both = bpe.decode(bpe.encode(rows).drop("text"))
+    return both.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2(F.col("decoded"), 256) == F.col("sha")).alias("round_trip"))
+
+
+STAGES = [("quality classifier", quality), ("exact dedup", exact), ("MinHash near-dedup", near), ("mixing sources to target weights", mix), ("byte-level BPE encoding and decoding", tokens)]
 
-STAGES: list = []
+#: A boosted classifier and shards of ids aren't SQL's; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over documents."""
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, f"stage-{k}")
+    return docs

@@ -25,19 +25,24 @@ def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def content_sort(
-    docs: DataFrame,
-    keep: str = "largest",
-    normalise: Callable[[Column], Column] | None = None,
-    carry: Sequence[str] = (),
-    only_kept: bool = False,
-    partitions: int | None = None,
-) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of each row of docs, and the carried columns.
+def content_sort(docs: DataFrame, keep: str = "largest", normalise: Callable[[Column], Column] | None = None, partitions: int | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of each row of docs; other columns are left out.
 
     Texts are equal when normalise makes them the same string; null counts as empty. Of equal texts the row with the
     largest (or smallest) doc_id stays, and of rows equal in that, too, just one. Null ids come before all others; a group
-    of null ids alone has keep_id null and keeps one row. No rows give no rows. only_kept: leaves out the other rows.
+    of null ids alone has keep_id null and keeps one row. No rows give no rows."""
+    return _grouped(docs, keep, normalise, (), False, partitions)
+
+
+def distinct_texts(docs: DataFrame, keep: str = "largest", normalise: Callable[[Column], Column] | None = None, partitions: int | None = None) -> DataFrame:
+    """The rows of docs that content_sort keeps, with all their columns, whatever their names."""
+    others = [c for c in docs.columns if c != "doc_id"]
+    kept = _grouped(docs, keep, normalise, others, True, partitions).where("kept")
+    return kept.select(*("doc_id" if c == "doc_id" else F.col(f"__c{others.index(c)}").alias(c) for c in docs.columns))
+
+
+def _grouped(docs: DataFrame, keep: str, normalise: Callable[[Column], Column] | None, carry: Sequence[str], only_kept: bool, partitions: int | None) -> DataFrame:
+    """What content_sort returns, and the columns carry as __c0, __c1 and so on; only_kept: leaves out rows that go.
 
     Rows are range-partitioned and sorted by (leading bytes, digest, text, doc_id), whose splitters Spark samples: equal
     texts stand next to each other, and a group that holds a third of all rows is cut between many partitions by its ids.
@@ -149,7 +154,7 @@ def content_sort(
         F.coalesce("__size", "group_size").alias("group_size"),
         (F.col("__last") & (~F.col("__edge") | (F.col("__run") == F.col("__final")))).alias("kept"),
         "text_sha256",
-        *(F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)),
+        *(f"__c{i}" for i in range(len(carry))),
     )
 
 

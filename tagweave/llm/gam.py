@@ -203,19 +203,26 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Gam:
     return fit(x[order], (y[order] > 0).astype(np.float64))
 
 
-def score(docs: DataFrame, model: Gam, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row, and the carried columns. Texts are whole; null counts as empty and
-    gets the score of an empty text. Repeated rows have equal scores; no rows give no rows."""
-    carry = carry or []
-    fields = [docs.schema["doc_id"], *(T.StructField(f"__c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)), T.StructField("score", T.DoubleType())]
-    names = [f.name for f in fields]
+def score(docs: DataFrame, model: Gam, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row. Texts are whole; null counts as empty and gets the score of an
+    empty text. Repeated rows have equal scores; no rows give no rows; other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([*b.select(names[:-1]).columns, pa.array(model.score(features(texts_of(b, "__text"))))], names=names)
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(features(texts_of(b))))], names=["doc_id", "score"])
+
+    scored = with_columns(docs.select("doc_id", "text"), run, [docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Gam, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose texts score threshold or more, with all their columns, whatever their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            yield b.filter(pa.array(model.score(features(texts_of(b))) >= threshold))
 
-    scored = with_columns(docs.select("doc_id", F.col("text").alias("__text"), *(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry))), run, fields)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)))
+    return with_columns(docs, run, docs.schema.fields)
 
 
 def op4_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

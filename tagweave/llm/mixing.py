@@ -48,9 +48,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: i
     return d.select(*_KEYS, "__total", F.when(F.col("__total") == 0, 0.0).otherwise(target).alias("__target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS, ranges: int = RANGES, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies and part of each row: the mix has copies whole copies of the
-    text and then its first part words (taken = copies * size + part).
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS, ranges: int = RANGES, seed: str = SEED, row: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, copies and part of each row, and the columns named in row: the mix
+    has copies whole copies of the text and then its first part words (taken = copies * size + part).
 
     Rows of a source stand in the order of a random key, a hash of seed and doc_id (ties: doc_id, size). The mix repeats the
     source in this order, and the word at which the whole part of its target is reached is the last. Null ids hash as empty;
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS,
     give each row's place, so no task holds more than a range or one row for each range of a source."""
     key = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
     slim = written(
-        docs.select("doc_id", "source", F.col("source").isNull().alias("__null"), F.coalesce("source", F.lit("")).alias("__source"), size_of(F.col("text")).alias("size"), key.alias("__key")).withColumn(
+        docs.select("doc_id", "source", *row, F.col("source").isNull().alias("__null"), F.coalesce("source", F.lit("")).alias("__source"), size_of(F.col("text")).alias("size"), key.alias("__key")).withColumn(
             "__range", F.expr(f"cast(__key div {2**60 // ranges} as int)")
         ),
         "mix",
@@ -78,6 +78,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS,
     cut = F.greatest(F.lit(0), F.least(F.col("size"), left))
     placed = placed.withColumn("__copies", whole).withColumn("__cut", cut)
     return placed.select(
+        *row,
         "doc_id",
         "source",
         "size",
@@ -89,6 +90,22 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS,
     )
 
 
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: rows of docs with all their columns, as often as they are taken. The row in which a source's target is
+    reached comes last with the first words of its text alone, joined by spaces, and n_chars, if there, tells their length.
+
+    docs must be a stored table, which gives the same row numbers in both scans; rows with the same doc_id stay apart."""
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    wanted = mix(rows, row=["__row"], **options).where("copies > 0 or part > 0").select("__row", "copies", "part")
+    each = rows.join(wanted, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.expr("cast(copies + if(part > 0, 1, 0) as int)"))))
+    cut = F.col("__copy") > F.col("copies")
+    some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("part").cast("int")), " ")
+    each = each.withColumn("text", F.when(cut, some).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        each = each.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return each.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 

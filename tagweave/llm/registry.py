@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, gam, minmax, mixing, quality_rules, token_store, warc
+from . import bpe, exact_dedup, gam, interpolation, minmax, mixing, pii, quality_rules, token_store, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bootstrapped_pii": pii.op1_bootstrapped_pii,
+        "op2_deleted_interpolation": interpolation.op2_deleted_interpolation,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_gam_quality": gam.op4_gam_quality,
         "op5_content_sort": exact_dedup.op5_content_sort,
