@@ -50,6 +50,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     lines = by_text(w.data == 10, w.bounds)
     changes = np.zeros(len(w.data), bool)
     changes[1:] = _LETTER[w.data[1:]] != _LETTER[w.data[:-1]]
+    changes[w.bounds[:-1]] = False  # a text's features don't depend on the text before it
     columns = [
         np.log1p(w.counts()),
         by_text(length, w.first) / n,
