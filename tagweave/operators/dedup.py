@@ -86,7 +86,7 @@ def automatic() -> Column:
     numbers = _at_least("volume", 0.95) | _at_least("pages", 0.95) | _at_least("number", 1.0)
     return (
         (_at_least("doi", 1.0) & _at_least("title", 0.85, True))
-        | (_at_least("title", 0.97) & _at_least("author", 0.8, True) & same_place & _at_least("doi", 0.95, True) & _at_least("pages", 0.6, True))
+        | (_at_least("title", 0.99) & _at_least("author", 0.8, True) & same_place & _at_least("doi", 0.95, True) & _at_least("pages", 0.6, True))
         | (_at_least("title", 0.9) & _at_least("author", 0.85) & same_place & numbers & _at_least("doi", 0.95, True))
         | (_at_least("title", 0.9) & _at_least("abstract", 0.9) & _at_least("author", 0.8, True) & _at_least("doi", 0.95, True))
     )
