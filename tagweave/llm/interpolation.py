@@ -30,18 +30,26 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 7 == 2
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences in planes of bytes, and counts."""
-    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    body = zstandard.ZstdCompressor(level=1).compress(gaps.tobytes() + counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
-    return len(keys).to_bytes(8, "little") + body
+def _packed(values: np.ndarray) -> bytes:
+    """64-bit values in planes of bytes, most of which are zero."""
+    return len(values).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:], max_output_size=16 * n), np.uint8).reshape(2, 8, n)
-    values = [np.ascontiguousarray(p.T).view("<u8").ravel() for p in planes]
-    return np.cumsum(values[0], dtype=np.uint64), values[1].astype(np.int64)
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:], max_output_size=8 * n), np.uint8).reshape(8, n) if n else np.zeros((8, 0), np.uint8)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def _block(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys, as differences, and counts."""
+    gaps = _packed(np.diff(keys, prepend=np.uint64(0)))
+    return len(gaps).to_bytes(8, "little") + gaps + _packed(counts)
+
+
+def _of_block(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = 8 + int.from_bytes(blob[:8], "little")
+    return np.cumsum(_unpacked(blob[8:n]), dtype=np.uint64), _unpacked(blob[n:]).astype(np.int64)
 
 
 class Chunk:
@@ -127,46 +135,43 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _gather(chunks: DataFrame, uri: str, buckets: int) -> tuple[int, int]:
-    """Sums the counts of all chunks and writes a file for each chunk, with the sums that differ from its own counts.
+    """Sums the counts of all chunks and writes a file for each chunk: what the others add to each of its keys, in order.
     Returns the number of tokens and of distinct tokens learnt from.
 
-    A chunk sends each key once, however often it has it, in one block a bucket; a bucket's blocks meet in one group."""
+    A chunk sends each key once, however often it has it, in one block a bucket; a bucket's blocks meet in one group. What
+    goes back has no keys, as a chunk knows its own."""
     shift = np.uint64(64 - 40)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, held, c in _rows(batches):
             keys, counts = c.counts(~held)
             cuts = np.searchsorted((keys >> shift).astype(np.int64), np.arange(buckets + 1) * ((1 << 40) // buckets + 1))
-            found = [(i, _pack(keys[a:b], counts[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            found = [(i, _block(keys[a:b], counts[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([chunk] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())], names=_BLOB.names)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack(b) for b in pdf["blob"]]
+        parts = [_of_block(b) for b in pdf["blob"]]
         keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         sums = np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
         unigram = (keys & np.uint64(1)) == 0
-        out = [(-1, int(sums[unigram].sum()).to_bytes(8, "little") + int((sums[unigram] > 0).sum()).to_bytes(8, "little"))]
+        out = [(-1, _packed(np.array([sums[unigram].sum(), (sums[unigram] > 0).sum()])))]
         begun = 0
         for chunk, (k, own) in zip(pdf["chunk"], parts, strict=True):
-            s = sums[at[begun : begun + len(k)]]
+            out.append((chunk, _packed(sums[at[begun : begun + len(k)]] - own)))
             begun += len(k)
-            other = s != own
-            if other.any():
-                out.append((chunk, _pack(k[other], s[other])))
         return pd.DataFrame({"bucket": np.int32(pdf["bucket"].iloc[0]), "chunk": [c for c, _ in out], "blob": [b for _, b in out]})
 
     def store(pdf: pd.DataFrame) -> pd.DataFrame:
         chunk, pdf = int(pdf["chunk"].iloc[0]), pdf.sort_values("bucket")
-        if chunk >= 0:
-            parts = [_unpack(b) for b in pdf["blob"]]  # buckets are ranges of keys, so these are in order
-            fs, path = filesystem(f"{uri}/{chunk}")
-            fs.create_dir(path.rpartition("/")[0], recursive=True)
-            with fs.open_output_stream(own := f"{path}.{uuid.uuid4().hex}", compression=None) as f:
-                f.write(_pack(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])))
-            fs.move(own, path)  # another attempt writes the same
-            return pd.DataFrame({"tokens": [0], "types": [0]})
-        sums = [(int.from_bytes(b[:8], "little"), int.from_bytes(b[8:], "little")) for b in pdf["blob"]]
-        return pd.DataFrame({"tokens": [sum(a for a, _ in sums)], "types": [sum(b for _, b in sums)]})
+        parts = [_unpacked(b) for b in pdf["blob"]]
+        if chunk < 0:
+            return pd.DataFrame({"tokens": [sum(int(x[0]) for x in parts)], "types": [sum(int(x[1]) for x in parts)]})
+        fs, path = filesystem(f"{uri}/{chunk}")
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        with fs.open_output_stream(own := f"{path}.{uuid.uuid4().hex}", compression=None) as f:
+            f.write(_packed(np.concatenate(parts)))  # buckets are ranges of keys
+        fs.move(own, path)  # another attempt writes the same
+        return pd.DataFrame({"tokens": [0], "types": [0]})
 
     sent = with_columns(chunks.select("chunk", "ids", "held", "sizes", "blob"), send, _BLOB)
     answers = sent.groupBy("bucket").applyInPandas(total, _BLOB)
@@ -176,15 +181,10 @@ def _gather(chunks: DataFrame, uri: str, buckets: int) -> tuple[int, int]:
 
 def _sums(c: Chunk, held: np.ndarray, chunk: int, uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token how often it, its context and both together were learnt."""
-    from pyarrow import fs as pafs
-
     keys, counts = c.counts(~held)
     fs, path = filesystem(f"{uri}/{chunk}")
-    if fs.get_file_info(path).type != pafs.FileType.NotFound:
-        with fs.open_input_stream(path, compression=None) as f:
-            k, n = _unpack(f.read())
-        counts[np.searchsorted(keys, k)] = n
-    # the end, as a context, stands for the start: both are learnt once a text
+    with fs.open_input_stream(path, compression=None) as f:
+        counts = counts + _unpacked(f.read()).astype(np.int64)
     get = lambda x: counts[np.searchsorted(keys, x)]
     return get(c.token), get(c.context), get(c.bigram)
 
