@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The fields that an import keeps by default.
 KEY_FIELDS = (
@@ -27,10 +26,6 @@ PUBMED_FIELDS: dict[str, str] = {
 }
 
 
-def text_schema(columns: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
-
-
 def with_missing(df: DataFrame, columns: list[str] | tuple[str, ...]) -> DataFrame:
     """df with the columns that it lacks, as null strings."""
     return df.withColumns({c: F.lit(None).cast("string") for c in columns if c not in df.columns})

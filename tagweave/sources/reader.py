@@ -113,6 +113,7 @@ def read_refs(spark: SparkSession, files: Sequence[str], tag_naming: Mapping[str
                 df = ris.pubmed_columns(ris.citations(rows, own))
                 df = df.select("file", *(c for c in df.columns if c != "file" and (fields is None or c in fields)))
             else:
+                own = [*own, "journal_secondary"] if "journal" in own and kind == "ris" else own
                 df = ris.citations(rows, [c for c in own if fields is None or c in fields])
         parts.append(ris.clean_authors(df))
     if not parts:

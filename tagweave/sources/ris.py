@@ -10,14 +10,11 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tags import joined
 from ..schema import PUBMED_FIELDS, RIS_FIELDS
 
 NEWLINE = r"\r\n|\r|\n"
 _TAG = r"^([A-Z][A-Z0-9])(?:\s{1,2}-\s?|\s+|\s*$)"
 _PUBMED_TAG = r"^([A-Z]{2,4})\s*-\s"
-#: Entries of these fields are one text; of others each is a value of its own.
-_ONE_TEXT = ("title", "abstract")
 
 
 def entries(record: Column, pubmed: bool = False) -> Column:
@@ -114,7 +111,8 @@ def clean_authors(df: DataFrame, by: str = "file") -> DataFrame:
 
 
 def citations(fields: DataFrame, columns: Iterable[str]) -> DataFrame:
-    return fields.select("file", *(column_of(c).alias(c) for c in columns))
+    """file and the columns; journal_secondary holds the longer ones of several journal names."""
+    return fields.select("file", *((other_journals() if c == "journal_secondary" else column_of(c)).alias(c) for c in columns))
 
 
 def present(fields: DataFrame, limit: int = 1000) -> list[str]:
@@ -130,7 +128,3 @@ def pubmed_columns(df: DataFrame) -> DataFrame:
     if "article_id" in df.columns:
         out = out.withColumn("doi", F.nullif(F.regexp_extract("article_id", r"(10\.\S+)\s*\[doi\]", 1), F.lit("")))
     return out
-
-
-def lines_of_values(values_column: Column) -> Column:
-    return joined(values_column)

@@ -31,7 +31,7 @@ def test_ris(spark, tmp_path):
     got = {r.title: r for r in reader.read_citations(spark, [put(tmp_path / "1_WoS.ris", RIS)], only_key_fields=False).collect()}
     first = got["First title"]
     assert (first.author, first.year, first.pages, first.journal, first.abstract, first.ZZ, first.cite_source) == ("Smith, J. and Lee, K.", "2001", "10-19", "Journal", "Some more text", "odd", "1_WoS")
-    assert got["Second"].author == "Solo, H."
+    assert got["Second"].author == "Solo, H." and first.journal_secondary == "A Journal of Things" and got["Second"].journal_secondary is None
 
 
 def test_blank_line_records_and_other_dialect(spark, tmp_path):
