@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang and the ids of each text; round_trip tells whether decoding gives the text's bytes."""
     rows = docs.select("doc_id", "source", "lang", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    both = bpe.decode(bpe.encode(rows).drop("text"))
+    both = bpe.encode_decode(rows)
     return both.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2(F.col("decoded"), 256) == F.col("sha")).alias("round_trip"))
 
 

@@ -83,10 +83,26 @@ def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None, bytes_c
     return with_columns(df.select(*(F.col(f"`{n}`") for n in names)), run, [*fields, T.StructField(bytes_col, T.BinaryType())])
 
 
+def encode_decode(df: DataFrame, text_col: str = "text", path: str | None = None, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """encode and then decode in one pass through a worker. Columns of the two names are replaced; text_col goes."""
+    path = path or public_tokenizers.path(RANKS)
+    fields = [f for f in df.schema.fields if f.name not in (text_col, ids_col, bytes_col)]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoding(path)
+        for b in sliced(batches, text_col):
+            ids = [encode_text(t or "", path) for t in b.column(text_col).to_pylist()]
+            out = [pa.array(ids, pa.list_(pa.int32())), pa.array([e.decode_bytes(i) for i in ids], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.select(names).columns, *out], names=[*names, ids_col, bytes_col])
+
+    more = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(bytes_col, T.BinaryType())]
+    return with_columns(df.select(*(F.col(f"`{n}`") for n in [*names, text_col])), run, [*fields, *more])
+
+
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of documents."""
-    both = decode(encode(docs.select("doc_id", "text"), path=path).drop("text"), path=path)
-    return both.select(
+    return encode_decode(docs.select("doc_id", "text"), path=path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

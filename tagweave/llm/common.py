@@ -50,8 +50,15 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Bytes of a batch that goes to a Python worker; Spark's own default is 64 MB, of which several are held at a time.
+BATCH_BYTES = 8 << 20
+
+
 def with_columns(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: Iterable[T.StructField]) -> DataFrame:
-    """mapInArrow with a schema of these fields."""
+    """mapInArrow with a schema of these fields. The session's batches are made no larger than BATCH_BYTES."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":  # a size that somebody chose stays
+        conf.set(key, f"{BATCH_BYTES}b")
     return df.mapInArrow(fn, T.StructType(list(fields)))
 
 
@@ -60,7 +67,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return pc.fill_null(batch.column(column), "").cast(pa.binary()).to_pylist()
 
 
-def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of at most so many bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:

@@ -16,7 +16,7 @@ _ODD = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 2**64)
 #: Bytes that are hashed in one go; memory is about 40 times this.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 
 def _powers(base: int, n: int) -> np.ndarray:
