@@ -21,8 +21,7 @@ def exploded(df: DataFrame, *columns: str, repeats: bool = False) -> DataFrame:
     """A row for each combination of items of the columns, each item once, or as often as it stands there with repeats.
     Rows whose tag is null or empty keep one row, with null."""
     for c in columns:
-        items = tag_list(c) if repeats else F.array_distinct(tag_list(c))
-        df = df.withColumn(c, F.explode_outer(F.when(F.size(items) > 0, items)))
+        df = df.withColumn(c, F.explode_outer(tag_list(c) if repeats else F.array_distinct(tag_list(c))))
     return df
 
 
