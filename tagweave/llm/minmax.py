@@ -28,7 +28,7 @@ _CHUNK = 512
 #: A pair whose values agree in a smaller share isn't compared in full: at a similarity of 0.8 that is 5 standard deviations off.
 LEAST_SHARE = 0.69
 #: Members of a bucket that are compared with each other in one group of rows.
-BLOCK = 1024
+BLOCK = 512
 #: Ids, up to which a table of them is broadcast; beyond, the join shuffles.
 IDS = 100_000
 
@@ -104,6 +104,13 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return with_columns(docs, run, fields)
 
 
+def _similar(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
+    if 100 * min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= similarity * (len(x) + len(y) - common)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
@@ -112,43 +119,50 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
         for b in batches:
             good = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(s), len(t)) < similarity * max(len(s), len(t)):
-                    good.append(False)
-                    continue
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(100 * common >= similarity * (len(s) + len(t) - common))
+                good.append(_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return with_columns(joined.select("a", "b", "x", "y"), run, [pairs.schema["a"], pairs.schema["b"]])
 
 
-def _likely(rows: DataFrame, share: float) -> DataFrame:
-    """Pairs (a, b) of rows (key, left, other, node, component, first, extremes) of a group (key, left, other), of two
-    components, whose minima and maxima agree in at least the share. first: whether a row is of the block left; the
-    others belong to the block other."""
+def _linking(rows: DataFrame, similarity: int, share: float) -> DataFrame:
+    """Links (a, b) between components in groups (key, left, other) of rows (key, left, other, node, component, first,
+    hashes, extremes). first: whether a row is of the block left; the others belong to the block other.
+
+    A pair is compared in the first bucket that it shares, if its minima and maxima agree in at least the share, and in
+    full. A group returns links that join what its others haven't joined, so fewer than it has rows."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.stack([np.frombuffer(x, np.uint32) for x in pdf["extremes"]])
-        component, node = pdf["component"].to_numpy(), pdf["node"].to_numpy()
+        keys = np.stack([band_keys(x[:PERMUTATIONS], x[PERMUTATIONS:]) for x in v])
+        here = keys == np.array([pdf["key"].iloc[0]], np.int64).view(np.uint64)[0]
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
+        sizes = np.array([len(x) for x in sets])
+        node = pdf["node"].to_numpy()
+        names, comp = np.unique(pdf["component"].to_numpy(), return_inverse=True)
         one = np.flatnonzero(pdf["first"].to_numpy())
         rest = np.flatnonzero(~pdf["first"].to_numpy())
-        rest = rest if len(rest) else one
-        found = []
+        rest, found = rest if len(rest) else one, []
         for i in one:
-            against = rest[component[rest] != component[i]]
-            for k in range(0, len(against), 4096):
-                some = against[k : k + 4096]
-                hit = some[(v[some] == v[i]).sum(axis=1) >= share * v.shape[1]]
-                found.append(np.column_stack([np.minimum(node[i], node[hit]), np.maximum(node[i], node[hit])]))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
-
-    return rows.groupBy("key", "left", "other").applyInPandas(compare, "a long, b long")
-
-
-def _cross_pairs(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Likely pairs between components that meet in a bucket of three nodes or more, found in blocks.
+            some = rest[comp[rest] != comp[i]]
+            for k in range(0, len(some), 2048):
+                j = some[k : k + 2048]
+                j = j[100 * np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i])]
+                j = j[(v[j] == v[i]).sum(axis=1) >= share * v.shape[1]]
+                shared = keys[j] == keys[i]
+                j = j[here[j, shared.argmax(axis=1)] & shared.any(axis=1)]
+                for x in j:
+                    if comp[x] != comp[i] and _similar(sets[i], sets[x], similarity):
+                        found.append((min(node[i], node[x]), max(node[i], node[x])))
+                        comp[comp == comp[x]] = comp[i]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=node.dtype)
+
+    kind = rows.schema["node"].dataType
+    return rows.groupBy("key", "left", "other").applyInPandas(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
+def _cross_links(members: DataFrame, comps: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links between components that meet in a bucket of three nodes or more, found in blocks.
 
     The component of a bucket's least node is its main one. Rows of other components are dealt into blocks and meet each
     other and the blocks of the main one; rows of the main one needn't meet. So a group of any size that is mostly one
@@ -173,7 +187,7 @@ def _cross_pairs(members: DataFrame, comps: DataFrame, sets: DataFrame) -> DataF
     )
     of_main = F.transform(upto(F.col("lefts")), lambda j: group(j, -1 - F.col("block"), F.lit(False)))
     dealt = own.withColumn("g", F.explode(F.when(F.col("left_row"), of_rest).otherwise(of_main))).select("key", "g.left", "g.other", "g.first", "node", "component")
-    return _likely(dealt.join(sets.select("node", "extremes"), "node"), LEAST_SHARE).distinct()
+    return _linking(dealt.join(sets, "node"), similarity, LEAST_SHARE)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -199,8 +213,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     sets = written(_sets(docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node"), shingle), "minmax-sets")
     links = written(confirmed(stars, sets, similarity), "minmax-links")
     comps = components(links, "minmax-first")
-    more = written(confirmed(_cross_pairs(members, comps, sets), sets, similarity), "minmax-more")
-    final = bounded(written(components(links.union(more), "minmax-final"), "minmax-components"), IDS)
+    more = written(_cross_links(members, comps, sets, similarity), "minmax-more")
+    if more.limit(1).count():
+        comps = components(links.union(more), "minmax-final")
+    final = bounded(written(comps, "minmax-components"), IDS)
     out = base.drop("bands").join(classes, "set_key", "left").withColumn("node", F.coalesce("node", F.when(F.col("set_key").isNotNull(), F.col("doc_id"))))
     out = out.join(final, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
