@@ -1,48 +1,22 @@
-"""What the operators of this subpackage share: the folder that the whole cluster sees, written tables, Arrow batches."""
+"""What the operators of this subpackage share: tables and files in the folder that the whole cluster sees, Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A word: what stands between the six ASCII white-space characters.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tagweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+from ..plans.storage import fresh_dir, shared_dir, written
 
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; it goes when the driver's JVM ends in good order."""
-    uri = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return uri
+__all__ = ["WORD", "bounded", "filesystem", "fresh_dir", "shared_dir", "sliced", "texts_of", "with_columns", "written"]
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends there, and lost executors cost nothing that is done."""
-    spark, uri = df.sparkSession, fresh_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(uri)
-    return spark.read.schema(nullable(df.schema)).parquet(uri)
-
-
-def nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+#: A word: what stands between the six ASCII white-space characters.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
