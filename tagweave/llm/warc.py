@@ -136,6 +136,16 @@ class Bundle:
         return head, block
 
 
+    def find(self, page_id: object) -> list[str]:
+        """Identifiers of a page's records; None stands for a null page_id."""
+        return [k for k in self.index if page_of(k) == (None if page_id is None else str(page_id))]
+
+
+def page_of(key: str) -> str | None:
+    """The page_id in an identifier, without the place of its row."""
+    return key.removeprefix("urn:x-page:").rpartition("#")[0] or None
+
+
 def open_bundle(uri: str) -> Bundle:
     fs, path = filesystem(uri)
     file = fs.open_input_file(path)
@@ -147,8 +157,9 @@ def write_bundles(pages: DataFrame, uri: str | None = None, frame_bytes: int = F
     returns their manifest: uri, bytes, frames, records.
 
     Null html counts as empty, a null url as "urn:x-url:none". Of rows with equal payloads the one with the smallest page_id
-    (null ids last; of repeated rows just one) is a response and the others revisit it. A page's record has the identifier
-    urn:x-page:<page_id>; a further row with the same page_id gets #<partition>-<row> added. No rows give no bundles.
+    (null ids last; of repeated rows just one) is a response and the others revisit it. Each row's record has an identifier
+    of its own, urn:x-page:<page_id>#<partition>-<row>, however often a page_id or null is repeated, and a revisit refers to
+    its response by that; Bundle.find gives the identifiers of a page. No rows give no bundles.
 
     Payloads are compared by SHA-1 and length: a scan with partial sums finds the repeated ones, and a join tells their rows.
     pages must be a stored table, which gives the same row numbers in both scans. Each attempt of a task writes files of its
@@ -166,30 +177,30 @@ def write_bundles(pages: DataFrame, uri: str | None = None, frame_bytes: int = F
         "url",
         "html",
         (F.col("__first").isNotNull() & (F.col("__first.row") != F.col("__row"))).alias("__revisit"),
+        F.col("__row"),
         F.col("__first.page_id").cast("string").alias("__to"),
-        # a response that others may refer to has its plain name; so has any other row but one with the page_id of its response
-        (F.col("__first").isNull() | (F.col("__first.row") == F.col("__row")) | ~F.col("__first.page_id").eqNullSafe(F.col("page_id"))).alias("__plain"),
+        F.col("__first.row").alias("__to_row"),
     )
+    name_of = lambda page, row: f"{'' if page is None else page}#{row >> 33}-{row & ((1 << 33) - 1)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(uri)
         fs.create_dir(path, recursive=True)
-        task, begun, done, row = TaskContext.get().partitionId(), None, [], 0
+        task, begun, done = TaskContext.get().partitionId(), None, []
 
         def close() -> None:
             done.append((name, begun.close(), len(begun.frames), len(begun.index)))
 
         for b in sliced(batches, "html", 1 << 22):
-            for payload, page, url, revisit, to, plain in zip(texts_of(b, "html"), *(b.column(c).to_pylist() for c in ("page_id", "url", "__revisit", "__to", "__plain")), strict=True):
+            for payload, page, url, revisit, row, to, to_row in zip(texts_of(b, "html"), *(b.column(c).to_pylist() for c in ("page_id", "url", "__revisit", "__row", "__to", "__to_row")), strict=True):
                 if begun and begun.written > bundle_bytes:
                     close()
                     begun = None
                 if not begun:
                     name = f"{uri}/{task:06d}-{len(done):03d}-{uuid.uuid4().hex}.warc.zst"
                     begun = BundleWriter(fs.open_output_stream(filesystem(name)[1], compression=None), frame_bytes)
-                key = f"urn:x-page:{'' if page is None else page}" + ("" if plain else f"#{task}-{row}")
-                row += 1
-                begun.add(key, record(page, url.replace("\r", "%0D").replace("\n", "%0A"), payload, payload_digest(payload), ("" if to is None else to) if revisit else None, key))
+                key = f"urn:x-page:{name_of(page, row)}"
+                begun.add(key, record(page, url.replace("\r", "%0D").replace("\n", "%0A"), payload, payload_digest(payload), name_of(to, to_row) if revisit else None, key))
         if begun:
             close()
         if done:
@@ -223,10 +234,10 @@ def read_bundles(manifest: DataFrame) -> DataFrame:
                         size, to = len(payload), None
                         if head["warc-type"] == "revisit":
                             size = int(http.rpartition(b"Content-Length: ")[2])
-                            to = head["warc-refers-to"][len("<urn:x-page:") : -1] or None
+                            to = page_of(head["warc-refers-to"][1:-1])
                         elif (own := payload_digest(payload)) != digest:
                             raise ValueError(f"{uri}: {key} has the digest {own}, not {digest}")
-                        out.append((key.removeprefix("urn:x-page:").partition("#")[0] or None, head["warc-target-uri"], head["warc-type"], size, digest, to))
+                        out.append((page_of(key), head["warc-target-uri"], head["warc-type"], size, digest, to))
                     yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=names)
 
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]

@@ -284,6 +284,25 @@ def test_warc(spark, tmp_path):
     assert warc.read_bundles(warc.write_bundles(pages.limit(0))).count() == 0
 
 
+def test_rows_that_share_a_page_id(spark, tmp_path):
+    """Null ids, and an id with several payloads, in one bundle: each row keeps a record, and revisits name their own response."""
+    rows = [(None, "a", "<p>1</p>"), (None, "b", "<p>2</p>"), (None, "c", "<p>2</p>"), (8, "d", "<p>3</p>"), (8, "e", "<p>4</p>"), (9, "f", "<p>3</p>"), (9, "g", "<p>4</p>"), (9, "h", "<p>3</p>")]
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(path)
+    manifest = warc.write_bundles(spark.read.parquet(path))
+    out = warc.read_bundles(manifest).collect()
+    back = {r.url: (r.page_id and int(r.page_id), r.record_type, r.refers_to and int(r.refers_to)) for r in out}
+    assert len(out) == len(rows) and sorted((r.page_id or "", r.url) for r in out) == sorted((str(i or ""), u) for i, u, _ in rows)
+    assert [back[u][1:] for u in "defgh"] == [("response", None)] * 2 + [("revisit", 8)] * 3
+    assert sorted(back[u][1] for u in "abc") == ["response", "response", "revisit"]
+    (one,) = manifest.collect()
+    bundle = warc.open_bundle(one.uri)
+    assert one.records == len(bundle.index) == len(rows) and [len(bundle.find(i)) for i in (None, 8, 9, 10)] == [3, 2, 3, 0]
+    heads = {h["warc-target-uri"]: h for h, _ in map(bundle.read, bundle.index)}
+    for url, response in (("f", "d"), ("g", "e"), ("h", "d")):
+        assert heads[url]["warc-refers-to"] == heads[response]["warc-record-id"]
+
+
 def test_bundles_are_plain_zstandard(tmp_path):
     import zstandard
 
