@@ -39,11 +39,18 @@ class Encoder:
     """Ids of texts by the tokenizers library, as little-endian bytes.
 
     Byte-level pre-splitting always begins a match at a single space between two characters that aren't white space, so a
-    text's ids are those of its pieces between such spaces, and each distinct piece goes through the library once."""
+    text's ids are those of its pieces between such spaces, and each distinct piece goes through the library once.
 
-    def __init__(self, path: str) -> None:
+    added_tokens: text that reads like an added token of the file (<|endoftext|>) becomes that token's id, as the library does
+    by itself, and a text that holds one goes through it whole; else it is encoded like other text."""
+
+    def __init__(self, path: str, added_tokens: bool = False) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # of other added tokens the library makes ids with either setting
+        found = [re.escape(t.content) for t in added if added_tokens or not t.special]
+        self.added = re.compile("|".join(found)).search if found else lambda text: None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -67,7 +74,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if _JOINED(text):
+        if _JOINED(text) or self.added(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         first, *rest = text.split(" ")
         known = self.known
@@ -85,8 +92,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
+    return Encoder(path, added_tokens)
 
 
 def _hash(keys: np.ndarray, level: int) -> np.ndarray:
@@ -232,12 +239,13 @@ def open_shard(uri: str) -> Shard:
     return Shard(file, file.size())
 
 
-def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID, uri: str | None = None, shards: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID, uri: str | None = None, shards: int | None = None, added_tokens: bool = False) -> DataFrame:
     """Writes the ids of all whole texts, each followed by end_id, to shards in ascending doc_id order and returns their
     manifest: shard, uri, docs, ids, first_key, last_key, bytes and start (ids in the shards before).
 
     doc_id must be a whole number; null ids come first and aren't in the index; rows that share a doc_id stand in the order
     of their texts, and the index leads to the first of them. Null texts count as empty. No rows give no shards. Other columns are left out.
+    added_tokens: as Encoder has it.
 
     Spark samples the splitters of doc_id and sorts within ranges, so that no task holds more than a range. Each attempt of a
     task writes a file of its own; the manifest, which Spark commits once a task, names those that count."""
@@ -248,7 +256,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     ranged = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, shard, out = encoder(path), TaskContext.get().partitionId(), None
+        e, shard, out = encoder(path, added_tokens), TaskContext.get().partitionId(), None
         end = np.array([end_id], e.dtype).tobytes()
         for b in sliced(batches):
             if out is None:
@@ -296,4 +304,4 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_shards(write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return read_shards(write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), added_tokens=True))

@@ -249,6 +249,20 @@ def test_token_store(rows, docs, none):
     assert token_store.read_shards(token_store.write_shards(none)).count() == 0
 
 
+def test_added_tokens_in_texts(spark, tmp_path):
+    """The query's ids are those of the library as it comes, also where a text holds an added token."""
+    tokenizer = token_store.Tokenizer.from_file(token_store.public_tokenizers.path(token_store.TOKENIZER))
+    texts = ["one two", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  z", "<|endoftext|", "three four <|endoftext|>", "", "last one"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    start, want = 0, []
+    for i, t in enumerate(texts):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert 50256 in tokenizer.encode(texts[1], add_special_tokens=False).ids
+    assert sorted(tuple(r) for r in token_store.op9_token_store(spark, str(tmp_path)).collect()) == want
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(0).integers(-(2**62), 2**62, 20000))
     h = token_store.PerfectHash.build(keys)
