@@ -212,6 +212,20 @@ def test_repeats_are_found():
     assert quality_rules.verdict(m)[1].tolist() == [False, True]
 
 
+def test_ngram_rules_add_to_the_base_rule():
+    lone = lambda n: [f"w{k:03d}" for k in range(n)]
+    passage = [f"p{k:03d}" for k in range(12)]
+    text = lambda parts, n: " ".join([*passage, *parts, *passage, *["q" + x for x in lone(n)]]).encode()
+    # of words 16 % and 8 % (of characters 14 % and 7 %) lie in a passage of 12 words that is found twice
+    m = quality_rules.measures([text(lone(60), 66), text(lone(140), 136), " ".join(lone(150)).encode()])
+    failed, kept = quality_rules.verdict(m)
+    assert m["n_repeat_words"].tolist() == [24, 24, 0] and m["n_words"].tolist() == [150, 300, 150] and m["n_dup_lines"].sum() == 0
+    assert failed.tolist() == [False] * 3 and kept.tolist() == [False, True, True]
+    # the rules for longer n-grams decide alone: 12.9 % is below 5-grams' 15 %, above 10-grams' 10 %
+    m = quality_rules.measures([text(lone(70), 74)])
+    assert 0.12 < m["dup_chars_5"][0] / m["word_chars"][0] < 0.15 and not quality_rules.verdict(m)[1][0]
+
+
 def test_byte_bpe(rows, docs, none):
     e = bpe.encoding(bpe.public_tokenizers.path(bpe.RANKS))
     out = {}
