@@ -19,8 +19,10 @@ FIELDS = ("title", "author", "doi", "volume", "pages", "number", "year", "abstra
 BLOCKS: tuple[tuple[str, ...], ...] = (
     ("doi",), ("title",), ("author_key", "year"), ("journal", "volume", "pages"), ("isbn", "volume", "pages"), ("title_key", "year"), ("year", "pages", "volume"),
 )
-#: Within a block, in the order of titles, a record is compared with so many that follow: all, in blocks no larger than that.
-NEIGHBOURS = 20
+#: Records of a block that meet in one group of rows; larger blocks are dealt into parts, and every two parts meet.
+PART = 512
+#: Blocks larger than PART, up to which their table is broadcast.
+LARGE = 100_000
 
 
 def normalised(raw: DataFrame) -> DataFrame:
@@ -54,16 +56,30 @@ def keys(df: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pairs(k: DataFrame, blocks: Sequence[Sequence[str]] = BLOCKS, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """id1 < id2 of records that share a block and stand near each other in it by title. Rows grow with the records, not with
-    the square of a block."""
+def _all_pairs(known: DataFrame, key: Sequence[str]) -> DataFrame:
+    """id1 < id2 of all records of each block. Rows grow with the square of a block; no group of rows is larger than two parts."""
+    large = known.groupBy(*key).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
+    large = F.broadcast(large) if large.limit(LARGE + 1).count() <= LARGE else large
+    rows = known.join(large, list(key), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("record_id"), F.col("parts")).cast("int"))
+    left = rows.select(*key, F.col("record_id").alias("x"), F.col("part").alias("p"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("q"))
+    right = rows.select(*key, F.col("record_id").alias("y"), F.col("part").alias("q"), F.explode(F.sequence(F.lit(0), "part")).alias("p"))
+    both = left.join(right, [*key, "p", "q"]).where("p < q or x < y")
+    return both.select(F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2")).where("id1 <> id2")
+
+
+def candidate_pairs(k: DataFrame, blocks: Sequence[Sequence[str]] = BLOCKS, neighbours: int | None = None) -> DataFrame:
+    """id1 < id2 of all records that share a block; with neighbours, of a record and so many that follow it in the order of
+    the block's titles."""
     out = None
     for key in blocks:
-        w = Window.partitionBy(*key).orderBy("title", "record_id")
         known = k.where(" and ".join(f"{c} is not null" for c in key)).select("record_id", "title", *(c for c in key if c != "title"))
-        after = known.withColumn("after", F.collect_list("record_id").over(w.rowsBetween(1, neighbours)))
-        pairs = after.select("record_id", F.explode("after").alias("other"))
-        pairs = pairs.select(F.least("record_id", "other").alias("id1"), F.greatest("record_id", "other").alias("id2")).where("id1 <> id2")
+        if neighbours is None:
+            pairs = _all_pairs(known, key)
+        else:
+            w = Window.partitionBy(*key).orderBy("title", "record_id")
+            after = known.withColumn("after", F.collect_list("record_id").over(w.rowsBetween(1, neighbours)))
+            pairs = after.select("record_id", F.explode("after").alias("other"))
+            pairs = pairs.select(F.least("record_id", "other").alias("id1"), F.greatest("record_id", "other").alias("id2")).where("id1 <> id2")
         out = pairs if out is None else out.union(pairs)
     return out.distinct()
 
@@ -76,6 +92,11 @@ def compared(k: DataFrame, pairs: DataFrame, fields: Sequence[str] = FIELDS) ->
     return both.select("id1", "id2", *(F.col(f"{f}{i}") for f in fields for i in (1, 2)), *(jaro_winkler(f"{f}1", f"{f}2").alias(f) for f in fields))
 
 
+def alike(k: DataFrame) -> DataFrame:
+    """record_id and node: the least record with the same values in all compared fields. These have the same pairs."""
+    return k.groupBy(*FIELDS, "author_key", "title_key").agg(F.min("record_id").alias("node"), F.collect_list("record_id").alias("ids")).select("node", F.explode("ids").alias("record_id"))
+
+
 def _at_least(field: str, x: float, missing: bool = False) -> Column:
     return F.coalesce(F.col(field) >= x, F.lit(missing))
 
@@ -124,14 +145,25 @@ def dedup_citations(raw: DataFrame, manual: bool = False, show_unknown_tags: boo
         rows = rows.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(UNKNOWN)) for c in TAGS})
     rows = written(rows.withColumn("record_id", F.col("record_id").cast("string")), "citations")
     k = keys(rows)
-    pairs = written(compared(k, candidate_pairs(k, blocks)).withColumn("auto", automatic()).withColumn("doubt", doubtful()), "citation-pairs")
-    groups = components(pairs.where("auto").select(F.col("id1").alias("a"), F.col("id2").alias("b")), "citation-groups")
+    same = written(alike(k), "citation-alike")
+    nodes = k.join(same.where("node = record_id").select("record_id"), "record_id", "left_semi")
+    nodes = written(nodes, "citation-nodes")
+    pairs = written(compared(nodes, candidate_pairs(nodes, blocks)).withColumn("auto", automatic()).withColumn("doubt", doubtful()).where("auto or doubt"), "citation-pairs")
+    # equal records are a pair to merge if they have a title or a DOI, as automatic() has it; they are never doubtful
+    equal = same.where("node <> record_id").join(nodes.where("title is not null or doi is not null").select(F.col("record_id").alias("node")), "node", "left_semi")
+    links = pairs.where("auto").select(F.col("id1").alias("a"), F.col("id2").alias("b")).union(equal.select("node", "record_id"))
+    groups = components(links, "citation-groups")
     unique = merged(rows, groups)
     if not manual:
         return unique
     entity = lambda i: groups.select(F.col("node").alias(f"id{i}"), F.col("component").alias(f"d{i}"))
-    shown = pairs.where("doubt").join(entity(1), "id1", "left").join(entity(2), "id2", "left").withColumn("duplicate_id1", F.coalesce("d1", "id1")).withColumn("duplicate_id2", F.coalesce("d2", "id2"))
-    shown = shown.where("duplicate_id1 <> duplicate_id2").drop("auto", "doubt", "d1", "d2")
+    member = lambda i: same.select(F.col("node").alias(f"id{i}"), F.col("record_id").alias(f"r{i}"))
+    shown = pairs.where("doubt").join(member(1), "id1").join(member(2), "id2")
+    # id1 is the smaller of both ids, and each value stays with its own record
+    turned = {f"{f}{i}": F.when(F.col("r1") < F.col("r2"), F.col(f"{f}{i}")).otherwise(F.col(f"{f}{3 - i}")) for f in FIELDS for i in (1, 2)}
+    shown = shown.select(F.least("r1", "r2").alias("id1"), F.greatest("r1", "r2").alias("id2"), *(c.alias(n) for n, c in turned.items()), *FIELDS)
+    shown = shown.join(entity(1), "id1", "left").join(entity(2), "id2", "left").withColumn("duplicate_id1", F.coalesce("d1", "id1")).withColumn("duplicate_id2", F.coalesce("d2", "id2"))
+    shown = shown.where("duplicate_id1 <> duplicate_id2").drop("d1", "d2")
     tags = lambda i: rows.select(F.col("record_id").alias(f"id{i}"), *(F.col(c).alias(f"{c.removeprefix('cite_')}{i}") for c in TAGS))
     return unique, shown.join(tags(1), "id1").join(tags(2), "id2")
 

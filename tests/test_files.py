@@ -117,6 +117,29 @@ def test_manual_pairs(spark):
     assert "4" not in got and got["1"].record_ids.endswith("4")
 
 
+def test_all_of_a_block_are_compared(spark, monkeypatch):
+    """Duplicates further apart in a block than any window, and doubtful pairs of larger groups, against brute force."""
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    import tagweave.operators.dedup as d
+
+    monkeypatch.setattr(d, "PART", 7)
+    rows = [(f"r{i:03d}", f"{chr(97 + i % 26)}{i:03d} words of a title", "Doe, A.", "10.1/x") for i in range(60)]
+    pairs = {tuple(r) for r in d.candidate_pairs(d.keys(d.normalised(spark.createDataFrame(rows, "record_id string, title string, author string, doi string"))), [("doi",)]).collect()}
+    assert pairs == set(itertools.combinations([r[0] for r in rows], 2))
+    rows = [(f"a{i:02d}" if i % 2 else f"z{i:02d}", "a long enough title of a paper", "Doe, John" if i < 30 else "Doe, Johanna Mary", None if i < 30 else "10.1/y", "s", "search") for i in range(60)]
+    raw = spark.createDataFrame(rows, "record_id string, title string, author string, doi string, cite_source string, cite_label string").withColumn("year", F.when(F.col("doi").isNull(), "2001").otherwise("2002"))
+    unique, doubtful = d.dedup_citations(raw, manual=True)
+    assert unique.count() == 2
+    one, two = ([r[0] for r in rows if (r[3] is None) == first] for first in (True, False))
+    author = {r[0]: r[2].upper().replace(",", "") for r in rows}
+    found = doubtful.collect()
+    assert {(r.id1, r.id2) for r in found} == {tuple(sorted(p)) for p in itertools.product(one, two)} and len(found) == 900
+    assert all((r.author1, r.author2) == (author[r.id1], author[r.id2]) for r in found)
+
+
 def test_rendered_tables(spark):
     u = spark.createDataFrame([("1", "S1", "screened"), ("2", "S|2", "final")], "duplicate_id string, cite_source string, cite_label string")
     table = render.precision_sensitivity_table(counts.phase_records(u))
