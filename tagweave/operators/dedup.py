@@ -15,9 +15,10 @@ from ..schema import TAGS, with_missing
 from .components import components
 
 FIELDS = ("title", "author", "doi", "volume", "pages", "number", "year", "abstract", "journal", "isbn")
-#: Keys of the blocks in which records are compared.
+#: Keys of the blocks in which records are compared. Titles that are equal at the beginning or at the end (12 letters and
+#: digits) meet whatever else is known; so do equal ones, and those of 24 or more that differ in one place.
 BLOCKS: tuple[tuple[str, ...], ...] = (
-    ("doi",), ("title",), ("author_key", "year"), ("journal", "volume", "pages"), ("isbn", "volume", "pages"), ("title_key", "year"), ("year", "pages", "volume"),
+    ("doi",), ("title_key",), ("title_end",), ("author_key", "year"), ("journal", "volume", "pages"), ("isbn", "volume", "pages"), ("year", "pages", "volume"),
 )
 #: Records of a block that meet in one group of rows; larger blocks are dealt into parts, and every two parts meet.
 PART = 512
@@ -45,6 +46,7 @@ def keys(df: DataFrame) -> DataFrame:
     plain = lambda c: F.nullif(F.regexp_replace(F.upper(F.col(c)), r"[^\p{L}\p{N}]+", " "), F.lit(""))
     squeezed = lambda c: F.nullif(F.trim(plain(c)), F.lit(""))
     doi = F.nullif(F.regexp_replace(F.lower(F.trim("doi")), r"^(https?://(dx\.)?doi\.org/|doi:\s*)", ""), F.lit(""))
+    letters = F.regexp_replace(F.upper("title"), r"[^\p{L}\p{N}]+", "")
     return df.select(
         F.col("record_id").cast("string").alias("record_id"),
         squeezed("title").alias("title"),
@@ -52,7 +54,8 @@ def keys(df: DataFrame) -> DataFrame:
         doi.alias("doi"),
         *(squeezed(c).alias(c) for c in ("volume", "pages", "number", "year", "abstract", "journal", "isbn")),
         F.nullif(F.regexp_extract(F.upper("author"), r"^\s*([\p{L}'-]+)", 1), F.lit("")).alias("author_key"),
-        F.nullif(F.substring(F.regexp_replace(F.upper("title"), r"[^\p{L}\p{N}]+", ""), 1, 12), F.lit("")).alias("title_key"),
+        F.nullif(F.substring(letters, 1, 12), F.lit("")).alias("title_key"),
+        F.nullif(F.right(letters, F.lit(12)), F.lit("")).alias("title_end"),
     )
 
 
@@ -94,7 +97,7 @@ def compared(k: DataFrame, pairs: DataFrame, fields: Sequence[str] = FIELDS) ->
 
 def alike(k: DataFrame) -> DataFrame:
     """record_id and node: the least record with the same values in all compared fields. These have the same pairs."""
-    return k.groupBy(*FIELDS, "author_key", "title_key").agg(F.min("record_id").alias("node"), F.collect_list("record_id").alias("ids")).select("node", F.explode("ids").alias("record_id"))
+    return k.groupBy(*FIELDS, "author_key", "title_key", "title_end").agg(F.min("record_id").alias("node"), F.collect_list("record_id").alias("ids")).select("node", F.explode("ids").alias("record_id"))
 
 
 def _at_least(field: str, x: float, missing: bool = False) -> Column:

@@ -140,6 +140,24 @@ def test_all_of_a_block_are_compared(spark, monkeypatch):
     assert all((r.author1, r.author2) == (author[r.id1], author[r.id2]) for r in found)
 
 
+def test_similar_titles_without_other_fields(spark):
+    """Titles that differ in one place, at the beginning or the end, against the rule for doubtful pairs on all pairs."""
+    import itertools
+    import random
+
+    from tagweave.functions.similarity import jaro_winkler_similarity
+
+    rng, titles = random.Random(4), []
+    for _ in range(12):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)]
+        titles += [" ".join(words), " ".join([*words[:-1], "qqqqqq"]), " ".join(["qqqqqq", *words[1:]])]
+    rows = [(f"{i:02d}", t, "Doe, A.", "s") for i, t in enumerate(titles)]
+    _, doubtful = dedup.dedup_citations(spark.createDataFrame(rows, "record_id string, title string, author string, cite_source string"), manual=True)
+    score = {(a[0], b[0]): jaro_winkler_similarity(a[1].upper(), b[1].upper()) for a, b in itertools.combinations(rows, 2)}
+    want = {p for p, x in score.items() if 0.85 <= x < 0.99}
+    assert {(r.id1, r.id2) for r in doubtful.collect()} == want and len(want) >= 12 and max(score.values()) < 0.99
+
+
 def test_rendered_tables(spark):
     u = spark.createDataFrame([("1", "S1", "screened"), ("2", "S|2", "final")], "duplicate_id string, cite_source string, cite_label string")
     table = render.precision_sensitivity_table(counts.phase_records(u))
