@@ -9,8 +9,10 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from .common import filesystem, fresh_dir, sliced, with_columns, written
+from .common import filesystem, fresh_dir, sliced, texts_of, with_columns, written
 from .textvec import mix
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,18 +30,67 @@ END_ID = 0
 MAGIC, VERSION = b"TWTOKENS", 1
 #: magic, version, bytes an id, documents, ids, keys; then where ids, offsets, keys, levels, slots and prints begin.
 _HEAD = struct.Struct("<8sIIQQQ6Q")
-#: Pieces of text whose ids a worker remembers; above this many it starts anew.
-REMEMBERED = 700_000
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)").fullmatch
+#: Pieces of text whose ids a worker remembers, none longer than PIECE bytes; above this many the half goes that was not
+#: met for longest.
+REMEMBERED, PIECE = 1_000_000, 32
+#: Bytes of text that are encoded in one go; memory is about 30 times this.
+BATCH = 4 << 20
 #: White space on both sides of a cut, or at it, would join matches of the pre-split pattern.
 _JOINED = re.compile(r"\s | \s").search
+_SPACE, _BLANK, _LETTER, _DIGIT, _OTHER, _ODD = range(6)
+# ASCII by the pre-split pattern's classes; the two bytes of U+00C0 to U+027F are letters but for two signs, which are odd
+# like the apostrophe (contractions) and all other characters
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[32], _KIND[9:14], _KIND[39] = _SPACE, _BLANK, _ODD
+_KIND[48:58], _KIND[65:91], _KIND[97:123] = _DIGIT, _LETTER, _LETTER
+_KIND[0x80:0xC0], _KIND[0xC0:], _KIND[0xC3:0xCA] = _LETTER, _ODD, _LETTER
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+class Known:
+    """Ids of pieces that were met before, by the pieces' own bytes: four words of eight bytes and the length."""
+
+    def __init__(self, dtype: np.dtype) -> None:
+        self.keys, self.words, self.at = np.zeros(0, np.uint64), np.zeros((0, 4), np.uint64), np.zeros(1, np.int64)
+        self.ids, self.met, self.turn = np.zeros(0, dtype), np.zeros(0, np.int64), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of distinct keys, -1 of those that aren't known."""
+        at = pd.Index(self.keys).get_indexer(keys)
+        self.turn += 1
+        self.met[at[at >= 0]] = self.turn
+        return at
+
+    def add(self, keys: np.ndarray, words: np.ndarray, ids: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.keys, self.words = np.concatenate([self.keys, keys]), np.concatenate([self.words, words])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), self.ids.dtype, int(sizes.sum()))])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.met = np.concatenate([self.met, np.full(len(ids), self.turn)])
+
+    def forget(self, most: int) -> None:
+        """Above so many pieces the half goes that was not met for longest."""
+        if len(self.keys) > most:
+            keep = np.sort(np.argsort(self.met, kind="stable")[-(most // 2) :])
+            sizes = np.diff(self.at)[keep]
+            self.ids = self.ids[_ranges(self.at[keep], sizes)]
+            self.keys, self.words, self.met, self.at = self.keys[keep], self.words[keep], self.met[keep], np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1 and so on for each start, as often as its size says."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, as little-endian bytes.
+    """Ids of texts by the tokenizers library.
 
-    Byte-level pre-splitting always begins a match at a single space between two characters that aren't white space, so a
-    text's ids are those of its pieces between such spaces, and each distinct piece goes through the library once.
+    Byte-level pre-splitting always begins a match at a single space between two characters that aren't white space; between
+    two such spaces, where neither an apostrophe nor a character beyond U+027F stands, a match ends where letters, digits,
+    white space and all other signs part. So a text's ids are those of its pieces, which numpy finds for many texts at once,
+    and each distinct piece goes through the library's model once; what lies between two spaces and holds another character
+    goes through the library's pre-splitting as well.
 
     added_tokens: text that reads like an added token of the file (<|endoftext|>) becomes that token's id, as the library does
     by itself, and a text that holds one goes through it whole; else it is encoded like other text."""
@@ -49,46 +100,100 @@ class Encoder:
         self.tokenizer.encode_special_tokens = not added_tokens
         added = self.tokenizer.get_added_tokens_decoder().values()
         # of other added tokens the library makes ids with either setting
-        found = [re.escape(t.content) for t in added if added_tokens or not t.special]
-        self.added = re.compile("|".join(found)).search if found else lambda text: None
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.dtype = np.dtype(f"<u{self.width}")
+        found = [re.escape(t.content.encode()) for t in added if added_tokens or not t.special]
+        self.added = re.compile(b"|".join(found)).search if found else lambda text: None
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.width = self.dtype.itemsize
         self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(kept)]
         self.alphabet = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, piece: str) -> bytes:
-        """Ids of a piece that stands at the beginning of a text or of a match."""
-        plain = _PLAIN(piece[1:] if piece[:1] == " " else piece)
-        if plain:
-            word = piece[: len(piece) - len(plain[2])]
-            parts = [word.encode().decode("latin-1").translate(self.alphabet)]
-            if plain[2]:
-                parts.append(plain[2])
-        else:
-            parts = [p for p, _ in self.split(piece)]
-        return np.array([t.id for p in parts for t in self.model.tokenize(p)], self.dtype).tobytes()
+        self.known = Known(self.dtype)
+
+    def _ids(self, piece: bytes, odd: bool) -> list[int]:
+        parts = [p for p, _ in self.split(piece.decode())] if odd else [piece.decode("latin-1").translate(self.alphabet)]
+        return [t.id for p in parts for t in self.model.tokenize(p)]
+
+    def _pieces(self, data: np.ndarray, texts: list[bytes], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where pieces begin in data, which of them are odd, and which are whole texts."""
+        kind = _KIND[data]
+        kind[:-1][(data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))] = _ODD
+        begins = np.zeros(len(data), bool)
+        begins[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+        of = lambda at: np.searchsorted(bounds, at, "right") - 1
+        runs = 1 + np.flatnonzero((kind[1:] <= _BLANK) & (kind[:-1] <= _BLANK) & ~begins[1:])
+        whole = np.zeros(len(texts), bool)
+        whole[of(runs[(kind[runs] == _SPACE) | (kind[runs - 1] == _SPACE)])] = True
+        strange = np.zeros(len(texts), bool)
+        odd_at = np.flatnonzero(kind == _ODD)
+        strange[of(odd_at[data[odd_at] >= 128])] = True
+        for i in np.flatnonzero(strange & ~whole):
+            whole[i] = _JOINED(texts[i].decode()) is not None
+        for i in np.flatnonzero(~whole):
+            whole[i] = self.added(texts[i]) is not None
+        start = begins | (kind == _SPACE)
+        between = np.cumsum(start, dtype=np.int32) - 1  # what stands between two spaces
+        odd = np.zeros(int(between[-1]) + 1, bool)
+        odd[between[odd_at]] = True
+        odd[between[runs]] = True
+        change = 1 + np.flatnonzero((kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE))
+        start[change[~odd[between[change]]]] = True
+        for i in np.flatnonzero(whole):
+            start[bounds[i] + 1 : bounds[i + 1]] = False
+        at = np.flatnonzero(start)
+        return at, odd[between[at]], whole[of(at)]
+
+    def encode_many(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, each followed by end, and how many each text has."""
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+        last = [] if end is None else [end]
+        if not bounds[-1]:
+            return np.array(last * len(texts), self.dtype), np.full(len(texts), len(last))
+        data = np.frombuffer(b"".join([*texts, bytes(PIECE)]), np.uint8)
+        at, odd, whole = self._pieces(data[: bounds[-1]], texts, bounds)
+        size = np.diff(at, append=bounds[-1])
+        small = np.flatnonzero((size <= PIECE) & ~whole)
+        words, eight = np.zeros((len(small), 4), np.uint64), np.lib.stride_tricks.sliding_window_view(data, 8)
+        own = size[small]
+        key = own.astype(np.uint64)
+        for k in range(4):
+            some = np.flatnonzero(own > 8 * k) if k else np.arange(len(small))
+            words[some, k] = eight[at[small[some]] + 8 * k].view("<u8").ravel() & _MASK[np.minimum(own[some] - 8 * k, 8)]
+            key[some] = mix(key[some] * np.uint64(0x9E3779B97F4A7C15) + words[some, k])
+        code, distinct = pd.factorize(key)
+        place = self.known.find(distinct)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            first = np.full(len(distinct), len(code))
+            np.minimum.at(first, code, np.arange(len(code)))
+            rows = first[new]
+            place[new] = len(self.known.keys) + np.arange(len(new))
+            self.known.add(distinct[new], words[rows], [self._ids(data[at[i] : at[i] + size[i]].tobytes(), odd[i]) for i in small[rows]])
+        place = place[code]
+        starts, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        starts[small], sizes[small] = self.known.at[place], np.diff(self.known.at)[place]
+        # longer pieces, whole texts, and a piece whose key is that of another one are encoded by themselves
+        alone = np.ones(len(at), bool)
+        alone[small] = (self.known.words[place] != words).any(axis=1)
+        more, begun = [], len(self.known.ids)
+        for i in np.flatnonzero(alone):
+            piece = data[at[i] : at[i] + size[i]].tobytes()
+            ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids if whole[i] else self._ids(piece, odd[i])
+            more.append(ids)
+            starts[i], sizes[i] = begun, len(ids)
+            begun += len(ids)
+        pool = np.concatenate([self.known.ids, np.array([*chain.from_iterable(more), *last], self.dtype)])
+        if last:
+            after = np.searchsorted(at, bounds[1:])
+            starts, sizes = np.insert(starts, after, begun), np.insert(sizes, after, 1)
+            at = np.insert(at, after, bounds[1:] - 1)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        upto = np.searchsorted(at, bounds[1:]) if not last else after + np.arange(1, len(texts) + 1)
+        self.known.forget(REMEMBERED)
+        return pool[_ranges(starts, sizes)], np.diff(total[upto], prepend=0)
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _JOINED(text) or self.added(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        first, *rest = text.split(" ")
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = [self._ids(first)] if first else []
-        try:
-            out += [known[p] for p in rest]
-        except KeyError:
-            for p in rest:
-                if p not in known:
-                    known[p] = self._ids(" " + p)
-            out += [known[p] for p in rest]
-        return b"".join(out)
+        return self.encode_many([text.encode()])[0].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -169,11 +274,12 @@ class ShardWriter:
         self.keys: list[int | None] = []
         self.sizes: list[int] = []
 
-    def add(self, key: int | None, ids: bytes) -> None:
-        self.out.write(ids)
-        self.keys.append(key)
-        self.sizes.append(len(ids) // self.width)
-        self.n_ids += len(ids) // self.width
+    def add(self, keys: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of several documents, one after the other, and how many each of them has."""
+        self.out.write(ids.tobytes())
+        self.keys += keys
+        self.sizes += sizes.tolist()
+        self.n_ids += len(ids)
 
     def close(self) -> int:
         offsets = np.concatenate([[0], np.cumsum(self.sizes)]).astype("<u8")
@@ -257,15 +363,13 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, shard, out = encoder(path, added_tokens), TaskContext.get().partitionId(), None
-        end = np.array([end_id], e.dtype).tobytes()
-        for b in sliced(batches):
+        for b in sliced(batches, "text", BATCH):
             if out is None:
                 fs, where = filesystem(uri)
                 fs.create_dir(where, recursive=True)
                 name = f"{uri}/{shard:06d}-{uuid.uuid4().hex}.tok"
                 out = ShardWriter(fs.open_output_stream(filesystem(name)[1], compression=None), e.width)
-            for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                out.add(key, e.encode(text) + end)
+            out.add(b.column("doc_id").to_pylist(), *e.encode_many(texts_of(b), end_id))
         if out is not None:
             size = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((shard, pa.int64()), (name, pa.string()), (len(out.keys), pa.int64()), (out.n_ids, pa.int64()), (out.keys[0], pa.int64()), (out.keys[-1], pa.int64()), (size, pa.int64()))], names=names)
