@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,11 +16,10 @@ from pyspark.sql import types as T
 from .common import bounded, sliced, with_columns, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters on either side of a candidate that its contexts are taken from.
-WINDOW = 64
+#: Longer words stand in a context as a digest.
+LONG_WORD = 64
 #: A context is trusted with so many different known instances, and such a share of all its instances.
 LEAST_KNOWN, LEAST_CONFIDENCE = 3, 0.8
-ROUNDS = 3
 #: Contexts, up to which their table is broadcast; beyond, the join shuffles.
 CONTEXTS = 20_000
 
@@ -31,7 +31,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+").finditer
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 _SIGN = re.compile(r"[0-9@]+")
 _DIGITS = re.compile(r"[0-9]").findall
-_SPACES = " \n\t\r\x0b\x0c"
+_ANY_DIGIT = re.compile("[0-9]")
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+").finditer
+#: Digits and what stands between them in numbers; the group is what ends a run of such words.
+_NUMERIC = re.compile(r"[0-9+()./-]*[0-9][0-9+()./-]*([,;:!?]*)").fullmatch
 _EDGE = "\"'`()[]{}<>,.;:!?|#*$%&="
 
 
@@ -69,34 +72,86 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def identifiers(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Words with a digit or an @, without punctuation at their edges, that lie outside the spans taken; 4 characters at least."""
-    after, k = 0, 0
-    for m in _SIGN.finditer(text):
-        if m.start() < after:
-            continue
-        start = max(after, *(text.rfind(c, after, m.start()) + 1 for c in _SPACES))
-        end = min((p for c in _SPACES if (p := text.find(c, m.end(), m.end() + 256)) >= 0), default=min(len(text), m.end() + 256))
-        after = end
+def words_of(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _WORDS(text)]
+
+
+def identifiers(text: str, words: list[tuple[int, int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Whole words with a digit or an @ that touch none of the spans taken, without punctuation at their edges, 4 characters
+    at least. Neighbouring words of digits and +-./() with single spaces between them are one."""
+    starts, out, run, k, before = [a for a, _ in words], [], [], 0, -1
+
+    def close() -> None:
+        start, end = run[0], run[1]
         while start < end and text[start] in _EDGE:
             start += 1
         while start < end and text[end - 1] in _EDGE:
             end -= 1
-        while k < len(taken) and taken[k][2] <= start:
+        if start > run[0] and text[start - 1] == "(" and ")" in text[start:end]:
+            start -= 1
+        if end - start >= 4:
+            out.append((start, end))
+        run.clear()
+
+    for m in _SIGN.finditer(text):
+        i = bisect_right(starts, m.start()) - 1
+        if i == before:
+            continue
+        a, b = words[i]
+        while k < len(taken) and taken[k][2] <= a:
             k += 1
-        if end - start >= 4 and not any(a < end for a, _, _ in taken[k : k + 1]):
-            yield start, end
+        if k < len(taken) and taken[k][0] < b:
+            continue
+        numeric = _NUMERIC(text, a, b)
+        goes_on = run and numeric and run[2] and i == before + 1 and a == run[1] + 1 and text[run[1]] == " "
+        if run and not goes_on:
+            close()
+        if run:
+            run[1:] = [b, not numeric[1]]
+        else:
+            run += [a, b, bool(numeric) and not numeric[1]]
+        before = i
+    if run:
+        close()
+    return out
+
+
+def _word(text: str) -> str:
+    """A word of a context: lower case, digits as 0; of long ones a digest, so that contexts stay small and differ as the
+    words do."""
+    word = _ANY_DIGIT.sub("0", text.lower())
+    return word if len(word) <= LONG_WORD else "#" + hashlib.blake2b(word.encode(), digest_size=16).hexdigest()
+
+
+def contexts(text: str, words: list[tuple[int, int]], start: int, end: int) -> list[str]:
+    """The two words before, and the word before with the word behind; ^ and $ stand for the text's beginning and end. What
+    an identifier is joined to without a space counts as a word of its own."""
+    i = bisect_right(words, (start, len(text) + 1)) - 1
+    j = bisect_right(words, (end - 1, len(text) + 1)) - 1
+    left = ([text[words[i][0] : start]] if words[i][0] < start else []) + [text[a:b] for a, b in reversed(words[max(0, i - 2) : i])]
+    right = text[end : words[j][1]] if words[j][1] > end else text[slice(*words[j + 1])] if j + 1 < len(words) else "$"
+    left = [_word(x) for x in left[:2]] or ["^"]
+    return [f"{' '.join(reversed(left))} _", f"{left[0]} _ {_word(right)}"]
+
+
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of several kinds, sorted, as spans that don't overlap."""
+    out: list[tuple[int, int, int]] = []
+    for a, k, z in spans:
+        if out and a < out[-1][2]:
+            out[-1] = (out[-1][0], out[-1][1], max(z, out[-1][2]))
+        else:
+            out.append((a, k, z))
+    return out
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The two words before, and the word before with the word behind; digits count as 0."""
-    left = re.sub("[0-9]", "0", text[max(0, start - WINDOW) : start].lower()).split()[-2:]
-    right = re.sub("[0-9]", "0", text[end : end + WINDOW].lower()).split()[:1]
-    return [f"{' '.join(left)} _", f"{' '.join(left[-1:])} _ {' '.join(right)}"] if left else []
+def digest(identifier: str) -> bytes:
+    """What tells different identifiers apart, whatever their length and case."""
+    return hashlib.blake2b(identifier.lower().encode(), digest_size=16).digest()
 
 
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.LongType())])
-_SEEN = T.StructType([*_SPAN.fields, T.StructField("instance", T.StringType()), T.StructField("contexts", T.ArrayType(T.StringType()))])
+_SEEN = T.StructType([*_SPAN.fields, T.StructField("instance", T.BinaryType()), T.StructField("contexts", T.ArrayType(T.StringType()))])
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -105,7 +160,7 @@ def scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
-        seen = pa.struct([*span, pa.field("instance", pa.string()), pa.field("contexts", pa.list_(pa.string()))])
+        seen = pa.struct([*span, pa.field("instance", pa.binary()), pa.field("contexts", pa.list_(pa.string()))])
         for b in sliced(batches):
             spans, found = [], []
             for text in b.column("text").to_pylist():
@@ -115,8 +170,9 @@ def scan(docs: DataFrame) -> DataFrame:
                     continue
                 base = base_spans(text)
                 spans.append([{"start": a, "kind": k, "end": z} for a, k, z in base])
-                every = [*base, *((a, -1, z) for a, z in identifiers(text, base))]
-                found.append([{"start": a, "kind": k, "end": z, "instance": text[a:z].lower()[:256], "contexts": c} for a, k, z in every if (c := contexts(text, a, z))])
+                words = words_of(text)
+                every = [*base, *((a, -1, z) for a, z in identifiers(text, words, merged(base)))]
+                found.append([{"start": a, "kind": k, "end": z, "instance": digest(text[a:z]), "contexts": contexts(text, words, a, z)} for a, k, z in every])
             sha = [hashlib.sha256(",".join(f"{KINDS[s['kind']]}:{s['start']}:{s['end']}" for s in x).encode()).hexdigest() for x in spans]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(range(row, row + b.num_rows), pa.int64()), pa.array(spans, pa.list_(span)), pa.array(sha), pa.array(found, pa.list_(seen))], names=names)
             row += b.num_rows
@@ -134,41 +190,44 @@ def trusted(edges: DataFrame, least_known: int, least_confidence: float) -> Data
     return best.where((F.col("known") >= least_known) & (F.col("confidence") >= least_confidence)).drop("known")
 
 
-def discover(found: DataFrame, rounds: int = ROUNDS, least_known: int = LEAST_KNOWN, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
+def discover(found: DataFrame, rounds: int | None = None, least_known: int = LEAST_KNOWN, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """Trusted contexts (context, kind, confidence) of found (instance, kind, contexts; kind -1: not known).
 
     Contexts and instances make a bipartite graph. In each round contexts are scored by the known among their instances, and
-    instances not known by their trusted contexts: 1 - product of (1 - confidence). Those at least_confidence or above count
-    as known, by that much, in the next round. All are grouped sums; no instance or context gathers its neighbours."""
+    instances not known by their trusted contexts: 1 - product of (1 - confidence). Those at least_confidence or above are
+    known from then on, by that much. Rounds end when no instance is added (or after so many as rounds says), so whatever a
+    chain of contexts leads to is found. All are grouped sums; no instance or context gathers its neighbours."""
     edges = found.select("instance", "kind", F.explode("contexts").alias("context")).groupBy("context", "instance").agg(F.max("kind").alias("kind"))
     edges = written(edges.withColumn("weight", (F.col("kind") >= 0).cast("double")), "pii-graph")
-    good = written(trusted(edges, least_known, least_confidence), "pii-contexts")
-    n = good.count()
-    for _ in range(rounds - 1):
-        if not n:
-            break
-        voted = edges.where("kind < 0").join(bounded(good.withColumnRenamed("kind", "voted"), CONTEXTS), "context")
+    good, known, done = written(trusted(edges, least_known, least_confidence), "pii-contexts"), None, 1
+    while good.limit(1).count() and (rounds is None or done < rounds):
+        open_edges = edges.where("kind < 0")
+        if known is not None:
+            open_edges = open_edges.join(bounded(known.select("instance"), CONTEXTS), "instance", "left_anti")
+        voted = open_edges.join(bounded(good.withColumnRenamed("kind", "voted"), CONTEXTS), "context")
         score = voted.groupBy("instance", "voted").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))).alias("score"))
-        known = score.groupBy("instance").agg(F.max(F.struct("score", "voted")).alias("best")).where(F.col("best.score") >= least_confidence)
-        now = edges.join(bounded(written(known, "pii-instances"), CONTEXTS), "instance", "left").select(
+        best = score.groupBy("instance").agg(F.max(F.struct("score", "voted")).alias("best")).where(F.col("best.score") >= least_confidence)
+        more = written(best, "pii-instances")
+        if not more.limit(1).count():
+            break
+        known = more if known is None else written(known.unionByName(more), "pii-instances")
+        now = edges.join(bounded(known, CONTEXTS), "instance", "left").select(
             "context",
             "instance",
             F.when(F.col("kind") >= 0, F.col("kind")).otherwise(F.coalesce("best.voted", F.lit(-1))).alias("kind"),
             F.when(F.col("kind") >= 0, F.lit(1.0)).otherwise(F.coalesce("best.score", F.lit(0.0))).alias("weight"),
         )
-        good = written(trusted(now, least_known, least_confidence), "pii-contexts")
-        if (more := good.count()) == n:
-            break
-        n = more
+        good, done = written(trusted(now, least_known, least_confidence), "pii-contexts"), done + 1
     return good
 
 
-def personal_data(docs: DataFrame, rounds: int = ROUNDS, least_known: int = LEAST_KNOWN, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
+def personal_data(docs: DataFrame, rounds: int | None = None, least_known: int = LEAST_KNOWN, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """doc_id, base_sha256, base and spans (arrays of start, kind, end; kind: a place in KINDS; code points, end exclusive)
     of each row. spans holds the base ones and, outside them, identifiers with a trusted context, of its kind.
 
     Null and empty texts have no spans; repeated rows have equal spans, and count as one instance for each different
-    identifier; no rows give no rows; other columns are left out. Texts are read once; what has contexts is then a table."""
+    identifier; no rows give no rows; other columns are left out. Words and identifiers of any length are whole. Texts are read
+    once; what has contexts is then a table."""
     rows = scan(docs)
     found = rows.select("row", F.explode("seen").alias("s")).select("row", "s.*")
     good = discover(found, rounds, least_known, least_confidence)

@@ -423,6 +423,63 @@ def test_contexts_discover_identifiers(spark):
     assert pii.personal_data(df.limit(0)).count() == 0
 
 
+def test_identifiers_are_whole():
+    found = lambda t: [t[a:z] for a, z in pii.identifiers(t, pii.words_of(t), pii.merged(pii.base_spans(t)))]
+    long = "x1" * 301
+    assert found(f"id {long} and {'y2' * 5000}.") == [long, "y2" * 5000]
+    assert found("call (212) 555 0123, or 12 34\n56 78 then (a1b2c) no12") == ["(212) 555 0123", "12 34", "56 78", "a1b2c", "no12"]
+    assert found("a@b.cd x123 1.2.3.4 99 88") == ["x123", "99 88"] and found("123 no 1") == [] and found("") == []
+    contexts = lambda t, x: pii.contexts(t, pii.words_of(t), t.index(x), t.index(x) + len(x))
+    assert contexts("my Tel 42 is:55-66, ok", "55-66") == ["00 is: _", "is: _ ,"] and contexts("x123", "x123") == ["^ _", "^ _ $"]
+    a, b = (contexts("w" * 100 + e + " x123", "x123")[0] for e in "ab")
+    assert a != b and len(a) == len(b) < 80
+    assert pii.digest("A" * 400 + "1") != pii.digest("a" * 400 + "2") and pii.digest("A1") == pii.digest("a1")
+
+
+def test_discovery_against_brute_force(spark):
+    """The graph of contexts and instances, scored round by round in plain Python; a chain of eight hops among them."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        seen = [(f"i{rng.randrange(40)}".encode(), rng.choice([-1, -1, 0, 1]), [f"c{rng.randrange(25)}", f"c{rng.randrange(25)}"]) for _ in range(150)]
+        seen += [(f"s{k}".encode(), 0, ["h0a", "h0b", "h0c"]) for k in range(4)]
+        for hop in range(8):  # each hop's context is known by the instances of the one before it
+            seen += [(f"h{hop}-{k}".encode(), -1, [f"h{h}{x}" for h in (hop, hop + 1) for x in "abc"]) for k in range(4)]
+        edges = {}
+        for instance, kind, cs in seen:
+            for c in cs:
+                edges[c, instance] = max(kind, edges.get((c, instance), -1))
+        known = {}
+
+        def score():
+            good = {}
+            for c in {c for c, _ in edges}:
+                own = [(known.get(i, (0.0, -1))[::-1] if k < 0 else (k, 1.0)) for (x, i), k in edges.items() if x == c]
+                best = max(((sum(w for q, w in own if q == kind), kind) for kind in {q for q, _ in own if q >= 0}), default=None)
+                if best and best[0] >= 1.2345 and best[0] / len(own) >= 0.3456:
+                    good[c] = (best[1], best[0] / len(own))
+            return good
+
+        while True:
+            good, votes = score(), {}
+            for (c, i), k in edges.items():
+                if k < 0 and i not in known and c in good:
+                    votes.setdefault((i, good[c][0]), []).append(good[c][1])
+            new = {}
+            for (i, kind), cs in votes.items():
+                s = 1 - math.prod(1 - min(x, 0.999) for x in cs)
+                if s >= 0.3456:
+                    new[i] = max(new.get(i, (0.0, -1)), (s, kind))
+            if not new:
+                break
+            known |= new
+        df = spark.createDataFrame(seen, "instance binary, kind int, contexts array<string>")
+        out = {r.context: (r.kind, r.confidence) for r in pii.discover(df, least_known=1.2345, least_confidence=0.3456).collect()}
+        assert set(out) == set(good)
+        assert "h7a" in out
+        assert all(out[c][0] == good[c][0] and out[c][1] == pytest.approx(good[c][1]) for c in out)
+        assert "h7a" not in {r.context for r in pii.discover(df, rounds=3, least_known=1.2345, least_confidence=0.3456).collect()}
+
+
 def test_gam(spark, tmp_path):
     rng = random.Random(2)
     words_ = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
