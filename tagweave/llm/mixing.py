@@ -94,16 +94,21 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of docs with all their columns, as often as they are taken. The row in which a source's target is
     reached comes last with the first words of its text alone, joined by spaces, and n_chars, if there, tells their length.
 
-    docs must be a stored table, which gives the same row numbers in both scans; rows with the same doc_id stay apart."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    wanted = mix(rows, row=["__row"], **options).where("copies > 0 or part > 0").select("__row", "copies", "part")
+    docs must be a stored table, which gives the same row numbers in both scans; rows with the same doc_id stay apart. Null and
+    empty texts are never taken; no rows give no rows; further columns keep their values, whatever their names (but __row)."""
+    names = docs.columns
+    inner = {c: f"__c{i}" for i, c in enumerate(names)}  # no name of docs can clash with those of the mix
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    wanted = mix(numbered, row=["__row"], **options).where("copies > 0 or part > 0").select("__row", "copies", "part")
+    rows = numbered.select("__row", *(F.col(f"`{c}`").alias(inner[c]) for c in names))
     each = rows.join(wanted, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.expr("cast(copies + if(part > 0, 1, 0) as int)"))))
-    cut = F.col("__copy") > F.col("copies")
-    some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("part").cast("int")), " ")
-    each = each.withColumn("text", F.when(cut, some).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        each = each.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return each.select(*(F.col(f"`{c}`") for c in docs.columns))
+    cut, text = F.col("__copy") > F.col("copies"), F.col(inner["text"])
+    some = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), 1, F.col("part").cast("int")), " ")
+    each = each.withColumn(inner["text"], F.when(cut, some).otherwise(text))
+    if "n_chars" in names:
+        own = F.col(inner["n_chars"])
+        each = each.withColumn(inner["n_chars"], F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(own))
+    return each.select(*(F.col(inner[c]).alias(c) for c in names))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

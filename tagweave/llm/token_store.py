@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from .common import filesystem, fresh_dir, sliced, texts_of, with_columns, written
+from .common import filesystem, fresh_dir, ranges_for, sliced, texts_of, with_columns, written
 from .textvec import mix
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -357,7 +357,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     task writes a file of its own; the manifest, which Spark commits once a task, names those that count."""
     spark = docs.sparkSession
     path, uri = path or public_tokenizers.path(TOKENIZER), uri or fresh_dir(spark, "tokens")
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or ranges_for(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranged = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 

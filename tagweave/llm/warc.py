@@ -9,6 +9,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -27,6 +28,7 @@ FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 29
 MIN_REVISIT_BYTES = 0
 #: Repeated payloads, up to which their table is broadcast; beyond, the join shuffles.
 REPEATS = 20_000
+_PLAIN = "!$&'()*+,/:;=?@[]"
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -34,13 +36,13 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None, key: str, date: str = DATE) -> bytes:
-    """A response record, or a revisit of the page refers_to."""
+def record(url: str, payload: bytes, digest: str, refers_to: str | None, key: str, date: str = DATE) -> bytes:
+    """A response record, or a revisit of the record refers_to."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{key}>", f"WARC-Date: {date}", f"WARC-Target-URI: {url}"]
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:x-page:{refers_to}>"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <{refers_to}>"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
@@ -135,15 +137,20 @@ class Bundle:
         head, block, _ = parse(self.frame(k), at)
         return head, block
 
-
     def find(self, page_id: object) -> list[str]:
         """Identifiers of a page's records; None stands for a null page_id."""
         return [k for k in self.index if page_of(k) == (None if page_id is None else str(page_id))]
 
 
+def key_of(page_id: str | None, row: int) -> str:
+    """The identifier of a row's record: its page_id with signs that a header can't hold written as %XX, and the row's place."""
+    return f"urn:x-page:{'' if page_id is None else '=' + quote(page_id, safe=_PLAIN)}#{row >> 33}-{row & ((1 << 33) - 1)}"
+
+
 def page_of(key: str) -> str | None:
-    """The page_id in an identifier, without the place of its row."""
-    return key.removeprefix("urn:x-page:").rpartition("#")[0] or None
+    """The page_id in an identifier, without the place of its row; null is told from the empty string."""
+    page = key.removeprefix("urn:x-page:").rpartition("#")[0]
+    return unquote(page[1:]) if page else None
 
 
 def open_bundle(uri: str) -> Bundle:
@@ -158,7 +165,8 @@ def write_bundles(pages: DataFrame, uri: str | None = None, frame_bytes: int = F
 
     Null html counts as empty, a null url as "urn:x-url:none". Of rows with equal payloads the one with the smallest page_id
     (null ids last; of repeated rows just one) is a response and the others revisit it. Each row's record has an identifier
-    of its own, urn:x-page:<page_id>#<partition>-<row>, however often a page_id or null is repeated, and a revisit refers to
+    of its own, urn:x-page:=<page_id>#<partition>-<row> (ids of any type; signs that a
+    header can't hold as %XX), however often a page_id or null is repeated, and a revisit refers to
     its response by that; Bundle.find gives the identifiers of a page. No rows give no bundles.
 
     Payloads are compared by SHA-1 and length: a scan with partial sums finds the repeated ones, and a join tells their rows.
@@ -181,7 +189,6 @@ def write_bundles(pages: DataFrame, uri: str | None = None, frame_bytes: int = F
         F.col("__first.page_id").cast("string").alias("__to"),
         F.col("__first.row").alias("__to_row"),
     )
-    name_of = lambda page, row: f"{'' if page is None else page}#{row >> 33}-{row & ((1 << 33) - 1)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(uri)
@@ -199,8 +206,8 @@ def write_bundles(pages: DataFrame, uri: str | None = None, frame_bytes: int = F
                 if not begun:
                     name = f"{uri}/{task:06d}-{len(done):03d}-{uuid.uuid4().hex}.warc.zst"
                     begun = BundleWriter(fs.open_output_stream(filesystem(name)[1], compression=None), frame_bytes)
-                key = f"urn:x-page:{name_of(page, row)}"
-                begun.add(key, record(page, url.replace("\r", "%0D").replace("\n", "%0A"), payload, payload_digest(payload), name_of(to, to_row) if revisit else None, key))
+                key = key_of(page, row)
+                begun.add(key, record(url.replace("\r", "%0D").replace("\n", "%0A"), payload, payload_digest(payload), key_of(to, to_row) if revisit else None, key))
         if begun:
             close()
         if done:

@@ -71,6 +71,8 @@ def words(text):
 
 
 def test_mix(rows, docs, none, spark):
+    from pyspark.sql import functions as F
+
     out = mixing.mix(docs)
     columns = ("doc_id", "size", "source_size", "target", "taken")
     assert got(out, *columns) == sql(rows, mixing.mix_sql())
@@ -81,6 +83,10 @@ def test_mix(rows, docs, none, spark):
         assert r.taken == r.copies * r["size"] + r.part and r.taken <= 3 * r["size"]
     assert all(sum(r.taken for r in rs) == math.floor(rs[0].target) for rs in by.values())
     assert sum(rs[0].target for rs in by.values()) == pytest.approx(sum(len(words(r[1])) for r in rows))
+    clash = {"part": "p", "copies": 7, "taken": None, "__copy": "c", "target": 1.5, "__range": 2}
+    more = docs.select("*", *(F.lit(v).alias(c) for c, v in clash.items()))
+    assert sorted(map(repr, mixing.mixture(more).drop(*clash).collect())) == sorted(map(repr, mixing.mixture(docs).collect()))
+    assert {tuple(r) for r in mixing.mixture(more).select(*clash).collect()} == {tuple(clash.values())}
     mixed = mixing.mixture(docs)
     assert mixed.columns == docs.columns
     assert sum(len(words(r.text)) for r in mixed.collect()) == sum(r.taken for rs in by.values() for r in rs)
@@ -132,6 +138,33 @@ def test_one_text_fills_all_partitions(spark):
     assert [r.doc_id for r in out.where("kept").collect()] == [4999]
 
 
+def test_a_task_holds_one_row_of_a_text(spark, monkeypatch):
+    """One text fills a partition: what the task holds doesn't grow with its rows."""
+    caught = {}
+    kind = type(spark.range(1))
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, fn, schema: caught.update(fn=fn, rows=self) or plain(self, fn, schema))
+    df = spark.createDataFrame([(i, "x" * 50000, "c" * 10) for i in range(40)] + [(1000, None, "n"), (1001, "", "e")], "doc_id long, text string, `__none` string")
+    out = {r.doc_id: r for r in exact_dedup.distinct_texts(df, partitions=1).collect()}
+    assert set(out) == {39, 1001} and out[39].text == "x" * 50000 and out[39]["__none"] == "c" * 10
+    assert exact_dedup.distinct_texts(df, keep="smallest", partitions=3).where("text is null").first().doc_id == 1000
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(exact_dedup.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    batch = caught["rows"].toArrow().to_batches()[0].slice(0, 1)
+    long = pa.RecordBatch.from_pylist([batch.to_pylist()[0] | {"__text": "y" * 100000}] * 100, schema=batch.schema)
+    base = pa.total_allocated_bytes()
+    tracemalloc.start()
+    most, rows = 0, []
+    for b in caught["fn"](iter([long] * 40)):
+        rows.append((b.num_rows, b.column("group_size")[0].as_py()))
+        most = max(most, pa.total_allocated_bytes() - base)
+    assert rows == [(1, 4000)] and most + tracemalloc.get_traced_memory()[1] < 20 * 100000
+    tracemalloc.stop()
+
+
 def shingles(text, n):
     w = ["".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in words(text)]
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
@@ -307,7 +340,7 @@ def test_warc(spark, tmp_path):
             for key in bundle.index:
                 head, block = bundle.read(key)
                 assert head["warc-record-id"] == f"<{key}>"
-                if key == "urn:x-page:5":
+                if warc.page_of(key) == "5":
                     assert block.endswith("é".encode() * 300000)
     assert warc.read_bundles(warc.write_bundles(pages.limit(0))).count() == 0
 
@@ -331,13 +364,22 @@ def test_rows_that_share_a_page_id(spark, tmp_path):
         assert heads[url]["warc-refers-to"] == heads[response]["warc-record-id"]
 
 
+def test_page_ids_of_any_string(spark, tmp_path):
+    ids = ["a#1", "a#2", "x\r\nWARC-Type: y", "", None, "é <ü>", "#", "=", "%0A", " a", "a "]
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame([(i, "u", "same" if k % 2 else f"p{k}") for k, i in enumerate(ids)], "page_id string, url string, html string").coalesce(1).write.parquet(path)
+    out = warc.read_bundles(warc.write_bundles(spark.read.parquet(path))).collect()
+    assert sorted(map(repr, (r.page_id for r in out))) == sorted(map(repr, ids))
+    assert {r.page_id: r.refers_to for r in out if r.record_type == "revisit"} == dict.fromkeys([i for k, i in enumerate(ids) if k % 2 and i != min(ids[1::2])], min(ids[1::2]))
+
+
 def test_bundles_are_plain_zstandard(tmp_path):
     import zstandard
 
     path = tmp_path / "x.warc.zst"
     w = warc.BundleWriter(path.open("wb"), frame_bytes=40)
     for k in range(5):
-        w.add(f"k{k}", warc.record(str(k), "u", b"payload", "D", None, f"k{k}"))
+        w.add(f"k{k}", warc.record("u", b"payload", "D", None, f"k{k}"))
     size = w.close()
     assert size == path.stat().st_size
     data = zstandard.ZstdDecompressor().stream_reader(path.open("rb"), read_across_frames=True).read()
@@ -438,7 +480,7 @@ def test_identifiers_are_whole():
 
 def test_discovery_against_brute_force(spark):
     """The graph of contexts and instances, scored round by round in plain Python; a chain of eight hops among them."""
-    for seed in range(3):
+    for seed in range(2):
         rng = random.Random(seed)
         seen = [(f"i{rng.randrange(40)}".encode(), rng.choice([-1, -1, 0, 1]), [f"c{rng.randrange(25)}", f"c{rng.randrange(25)}"]) for _ in range(150)]
         seen += [(f"s{k}".encode(), 0, ["h0a", "h0b", "h0c"]) for k in range(4)]
