@@ -91,16 +91,24 @@ def _bands(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """node, its full set and its minima and maxima."""
+    """node, its full set, its minima and maxima, the set's size and the last byte of each value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             sets = shingle_sets(texts_of(b), n)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("node"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([np.concatenate(extremes(s)).tobytes() for s in sets], pa.binary())], names=["node", "hashes", "extremes"]
-            )
-
-    fields = [docs.schema["node"], T.StructField("hashes", T.BinaryType()), T.StructField("extremes", T.BinaryType())]
+            values = [np.concatenate(extremes(s)) for s in sets]
+            columns = [
+                b.column("node"),
+                pa.array([s.tobytes() for s in sets], pa.binary()),
+                pa.array([v.tobytes() for v in values], pa.binary()),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([v.astype(np.uint8).tobytes() for v in values], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    binary = lambda c: T.StructField(c, T.BinaryType())
+    fields = [docs.schema["node"], binary("hashes"), binary("extremes"), T.StructField("size", T.LongType()), binary("sketch")]
+    names = [f.name for f in fields]
     return with_columns(docs, run, fields)
 
 
@@ -125,33 +133,57 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return with_columns(joined.select("a", "b", "x", "y"), run, [pairs.schema["a"], pairs.schema["b"]])
 
 
+def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the block left, those that they meet, and a number for each component."""
+    _, comp = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+    one, rest = np.flatnonzero(pdf["first"].to_numpy()), np.flatnonzero(~pdf["first"].to_numpy())
+    return one, rest if len(rest) else one, comp
+
+
+def _partners(i: int, some: np.ndarray, values: np.ndarray, sizes: np.ndarray, similarity: int, share: float) -> Iterator[np.ndarray]:
+    """Those of some whose sizes allow the similarity and whose values agree with row i's in at least the share."""
+    for k in range(0, len(some), 2048):
+        j = some[k : k + 2048]
+        j = j[100 * np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i])]
+        yield j[(values[j] == values[i]).sum(axis=1) >= share * values.shape[1]]
+
+
+def _meeting(rows: DataFrame, similarity: int, share: float) -> DataFrame:
+    """The rows (key, left, other, node) that have a partner in another component in their group of rows (key, left, other,
+    first, node, component, size, sketch). A byte of each value is enough: equal values are never missed."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, rest, comp = _sides(pdf)
+        values, sizes = np.stack([np.frombuffer(x, np.uint8) for x in pdf["sketch"]]), pdf["size"].to_numpy()
+        hit = np.zeros(len(pdf), bool)
+        for i in one:
+            for j in _partners(i, rest[comp[rest] != comp[i]], values, sizes, similarity, share):
+                hit[j] = True
+                hit[i] |= len(j) > 0
+        return pdf.loc[hit, ["key", "left", "other", "node"]]
+
+    names = ["key", "left", "other", "node"]
+    return rows.groupBy("key", "left", "other").applyInPandas(compare, T.StructType([rows.schema[c] for c in names]))
+
+
 def _linking(rows: DataFrame, similarity: int, share: float) -> DataFrame:
-    """Links (a, b) between components in groups (key, left, other) of rows (key, left, other, node, component, first,
+    """Links (a, b) between components in groups (key, left, other) of rows (key, left, other, first, node, component,
     hashes, extremes). first: whether a row is of the block left; the others belong to the block other.
 
     A pair is compared in the first bucket that it shares, if its minima and maxima agree in at least the share, and in
     full. A group returns links that join what its others haven't joined, so fewer than it has rows."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack([np.frombuffer(x, np.uint32) for x in pdf["extremes"]])
-        keys = np.stack([band_keys(x[:PERMUTATIONS], x[PERMUTATIONS:]) for x in v])
+        one, rest, comp = _sides(pdf)
+        values = np.stack([np.frombuffer(x, np.uint32) for x in pdf["extremes"]])
+        keys = np.stack([band_keys(x[:PERMUTATIONS], x[PERMUTATIONS:]) for x in values])
         here = keys == np.array([pdf["key"].iloc[0]], np.int64).view(np.uint64)[0]
         sets = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
-        sizes = np.array([len(x) for x in sets])
-        node = pdf["node"].to_numpy()
-        names, comp = np.unique(pdf["component"].to_numpy(), return_inverse=True)
-        one = np.flatnonzero(pdf["first"].to_numpy())
-        rest = np.flatnonzero(~pdf["first"].to_numpy())
-        rest, found = rest if len(rest) else one, []
+        sizes, node, found = np.array([len(x) for x in sets]), pdf["node"].to_numpy(), []
         for i in one:
-            some = rest[comp[rest] != comp[i]]
-            for k in range(0, len(some), 2048):
-                j = some[k : k + 2048]
-                j = j[100 * np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i])]
-                j = j[(v[j] == v[i]).sum(axis=1) >= share * v.shape[1]]
+            for j in _partners(i, rest[comp[rest] != comp[i]], values, sizes, similarity, share):
                 shared = keys[j] == keys[i]
-                j = j[here[j, shared.argmax(axis=1)] & shared.any(axis=1)]
-                for x in j:
+                for x in j[here[j, shared.argmax(axis=1)] & shared.any(axis=1)]:
                     if comp[x] != comp[i] and _similar(sets[i], sets[x], similarity):
                         found.append((min(node[i], node[x]), max(node[i], node[x])))
                         comp[comp == comp[x]] = comp[i]
@@ -166,7 +198,8 @@ def _cross_links(members: DataFrame, comps: DataFrame, sets: DataFrame, similari
 
     The component of a bucket's least node is its main one. Rows of other components are dealt into blocks and meet each
     other and the blocks of the main one; rows of the main one needn't meet. So a group of any size that is mostly one
-    component costs its size times the number of blocks of the rest, and no group of rows is larger than two blocks."""
+    component costs its size times the number of blocks of the rest, and no group of rows is larger than two blocks. What a
+    row takes along to its blocks is a byte for each of its values; only rows with a likely partner take their full sets."""
     rows = members.join(comps, "node", "left").select("key", "hub", "node", F.coalesce("component", "node").alias("component"))
     main = rows.where("node = hub").select("key", F.col("component").alias("main"))
     sizes = (
@@ -187,7 +220,10 @@ def _cross_links(members: DataFrame, comps: DataFrame, sets: DataFrame, similari
     )
     of_main = F.transform(upto(F.col("lefts")), lambda j: group(j, -1 - F.col("block"), F.lit(False)))
     dealt = own.withColumn("g", F.explode(F.when(F.col("left_row"), of_rest).otherwise(of_main))).select("key", "g.left", "g.other", "g.first", "node", "component")
-    return _linking(dealt.join(sets, "node"), similarity, LEAST_SHARE)
+    dealt = written(dealt, "minmax-dealt")
+    likely = written(_meeting(dealt.join(sets.select("node", "size", "sketch"), "node"), similarity, LEAST_SHARE), "minmax-likely")
+    met = dealt.join(bounded(likely, IDS), ["key", "left", "other", "node"])
+    return _linking(met.join(sets.select("node", "hashes", "extremes"), "node"), similarity, LEAST_SHARE)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
