@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..plans.storage import fresh_dir, shared_dir, written
 
-__all__ = ["WORD", "bounded", "filesystem", "fresh_dir", "ranges_for", "shared_dir", "sliced", "texts_of", "with_columns", "written"]
+__all__ = ["WORD", "bounded", "filesystem", "fresh_dir", "input_bytes", "ranges_for", "shared_dir", "sliced", "texts_of", "with_columns", "written"]
 
 #: A word: what stands between the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,12 +40,16 @@ def with_columns(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterato
 RANGE_BYTES = 32 << 20
 
 
-def ranges_for(df: DataFrame, each: int = RANGE_BYTES) -> int:
-    """Ranges for a sort of df: as many as the session's shuffles have, and more where the tables that it reads are larger."""
+def input_bytes(df: DataFrame) -> int:
+    """Stored bytes of the tables that df reads, as far as they are known before they are read."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    known = sum(x for x in sizes if x < 1 << 60)  # what has no size of its own counts as the largest number there is
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // each))
+    return sum(x for x in sizes if x < 1 << 60)  # what has no size of its own counts as the largest number there is
+
+
+def ranges_for(df: DataFrame, each: int = RANGE_BYTES) -> int:
+    """Ranges for a sort of df: as many as the session's shuffles have, and more where the tables that it reads are larger."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // each))
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filesystem, fresh_dir, sliced, texts_of, with_columns, written
+from .common import bounded, filesystem, fresh_dir, input_bytes, sliced, texts_of, with_columns, written
 from .textvec import _ODD, mix, words
 
-#: Bytes of text in a chunk, which is counted and scored as one; bytes of text for each bucket of n-gram keys.
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 24 << 20
+#: Bytes of text in a chunk, which is counted and scored as one; bytes of text for each bucket of n-gram keys. Each chunk
+#: sends a block to each bucket, so both grow with the text's root, up to four times this, from where this is its size on.
+CHUNK_BYTES, BUCKET_BYTES, GROWS_FROM = 4 << 20, 24 << 20, 64 << 30
+#: Chunks, up to which the table of their files is broadcast; beyond, the join shuffles.
+FILES = 100_000
 #: Buckets of context counts by powers of 2; bins of probabilities by half powers of 2, the first for 0.
 CONTEXTS, BINS = 48, 100
 EM_ROUNDS = 60
@@ -127,23 +130,26 @@ def _texts(sizes: list[int], blob: bytes) -> list[bytes]:
     return out
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """Of each chunk the values of these columns, which texts are held out, and its tokens."""
     for batch in batches:
         for k in range(batch.num_rows):
-            row = batch.slice(k, 1)
-            yield (*(row.column(c)[0].as_py() for c in ("chunk", "ids")), np.array(row.column("held")[0].as_py(), bool), Chunk(_texts(row.column("sizes")[0].as_py(), row.column("blob")[0].as_py())))
+            get = lambda c: batch.column(c)[k]  # noqa: B023, E731
+            texts = _texts(get("sizes").as_py(), get("blob").as_py())
+            yield [get(c).as_py() if c != "ids" else get(c).values for c in columns], np.array(get("held").as_py(), bool), Chunk(texts)
 
 
-def _gather(chunks: DataFrame, uri: str, buckets: int) -> tuple[int, int]:
+def _gather(chunks: DataFrame, uri: str, buckets: int) -> tuple[DataFrame, int, int]:
     """Sums the counts of all chunks and writes a file for each chunk: what the others add to each of its keys, in order.
-    Returns the number of tokens and of distinct tokens learnt from.
+    Returns chunks with their files, and the number of tokens and of distinct tokens learnt from. Each attempt of a task
+    writes files of its own; the table of files, which Spark commits once a task, names those that count.
 
     A chunk sends each key once, however often it has it, in one block a bucket; a bucket's blocks meet in one group. What
     goes back has no keys, as a chunk knows its own."""
     shift = np.uint64(64 - 40)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _, held, c in _rows(batches):
+        for (chunk,), held, c in _rows(batches, "chunk"):
             keys, counts = c.counts(~held)
             cuts = np.searchsorted((keys >> shift).astype(np.int64), np.arange(buckets + 1) * ((1 << 40) // buckets + 1))
             found = [(i, _block(keys[a:b], counts[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
@@ -165,24 +171,26 @@ def _gather(chunks: DataFrame, uri: str, buckets: int) -> tuple[int, int]:
         chunk, pdf = int(pdf["chunk"].iloc[0]), pdf.sort_values("bucket")
         parts = [_unpacked(b) for b in pdf["blob"]]
         if chunk < 0:
-            return pd.DataFrame({"tokens": [sum(int(x[0]) for x in parts)], "types": [sum(int(x[1]) for x in parts)]})
-        fs, path = filesystem(f"{uri}/{chunk}")
-        fs.create_dir(path.rpartition("/")[0], recursive=True)
-        with fs.open_output_stream(own := f"{path}.{uuid.uuid4().hex}", compression=None) as f:
+            return pd.DataFrame({"chunk": [chunk], "file": [None], "tokens": [sum(int(x[0]) for x in parts)], "types": [sum(int(x[1]) for x in parts)]})
+        fs, path = filesystem(uri)
+        fs.create_dir(path, recursive=True)
+        own = f"{uri}/{chunk}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(filesystem(own)[1], compression=None) as f:
             f.write(_packed(np.concatenate(parts)))  # buckets are ranges of keys
-        fs.move(own, path)  # another attempt writes the same
-        return pd.DataFrame({"tokens": [0], "types": [0]})
+        return pd.DataFrame({"chunk": [chunk], "file": [own], "tokens": [0], "types": [0]})
 
-    sent = with_columns(chunks.select("chunk", "ids", "held", "sizes", "blob"), send, _BLOB)
-    answers = sent.groupBy("bucket").applyInPandas(total, _BLOB)
-    sums = answers.groupBy("chunk").applyInPandas(store, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
-    return sums[0] or 0, sums[1] or 0
+    sent = with_columns(chunks.select("chunk", "held", "sizes", "blob"), send, _BLOB)
+    answers = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(total, _BLOB)
+    stored = answers.repartition(buckets, "chunk").groupBy("chunk").applyInPandas(store, "chunk long, file string, tokens long, types long")
+    files = written(stored, "lm-files")
+    sums = files.agg(F.sum("tokens"), F.sum("types")).first()
+    return chunks.join(bounded(files.where("file is not null").select("chunk", "file"), FILES), "chunk"), sums[0] or 0, sums[1] or 0
 
 
-def _sums(c: Chunk, held: np.ndarray, chunk: int, uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sums(c: Chunk, held: np.ndarray, file: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token how often it, its context and both together were learnt."""
     keys, counts = c.counts(~held)
-    fs, path = filesystem(f"{uri}/{chunk}")
+    fs, path = filesystem(file)
     with fs.open_input_stream(path, compression=None) as f:
         counts = counts + _unpacked(f.read()).astype(np.int64)
     get = lambda x: counts[np.searchsorted(keys, x)]
@@ -199,21 +207,21 @@ def _bin(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, 1 + np.clip(b, 0, BINS - 2), 0).astype(np.int64)
 
 
-def _deleted(chunks: DataFrame, uri: str, n_tokens: int) -> DataFrame:
+def _deleted(chunks: DataFrame, n_tokens: int) -> DataFrame:
     """Each learnt token, as if it alone were held out: how often its estimates fall into a cell of context count and
     probabilities, and the sums of the estimates. The table has a fixed number of cells, however many tokens there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _, held, c in _rows(batches):
+        for (file,), held, c in _rows(batches, "file"):
             own = ~held[c.doc]
             if not own.any():
                 continue
-            word, context, both = (x[own] for x in _sums(c, held, chunk, uri))
+            word, context, both = (x[own] for x in _sums(c, held, file))
             two, one = (both - 1) / np.maximum(context - 1, 1), (word - 1) / max(n_tokens - 1, 1)
             cell, at = np.unique((_context(context - 1) * BINS + _bin(two)) * BINS + _bin(one), return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.bincount(at), pa.int64()), pa.array(np.bincount(at, two)), pa.array(np.bincount(at, one))], names=["cell", "n", "two", "one"])
 
-    cells = with_columns(chunks.select("chunk", "ids", "held", "sizes", "blob"), run, [T.StructField("cell", T.LongType()), T.StructField("n", T.LongType()), T.StructField("two", T.DoubleType()), T.StructField("one", T.DoubleType())])
+    cells = with_columns(chunks.select("file", "held", "sizes", "blob"), run, [T.StructField("cell", T.LongType()), T.StructField("n", T.LongType()), T.StructField("two", T.DoubleType()), T.StructField("one", T.DoubleType())])
     return cells.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "two", "one")))
 
 
@@ -249,28 +257,28 @@ def language_model(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes
 
     Texts are dealt into chunks. Chunks send their distinct n-grams with counts, sums go back to the chunks that have other
     counts, and each chunk is scored by itself; the weights are learnt from cells of a fixed number."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
-    chunks, uri = _chunks(docs, chunk_bytes), fresh_dir(spark, "lm-sums")
+    grow = min(4.0, max(1.0, (input_bytes(docs) / GROWS_FROM) ** 0.5))
+    chunks, uri = _chunks(docs, int(chunk_bytes * grow)), fresh_dir(docs.sparkSession, "lm-sums")
     size = chunks.agg(F.sum("size")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
-    n_tokens, n_types = _gather(chunks, uri, buckets)
-    w = weights(_deleted(chunks, uri, n_tokens).toPandas(), n_types)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // int(bucket_bytes * grow)))
+    chunks, n_tokens, n_types = _gather(chunks, uri, buckets)
+    w = weights(_deleted(chunks, n_tokens).toPandas(), n_types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, held, c in _rows(batches):
-            word, context, both = _sums(c, held, chunk, uri)
+        for (file, ids), held, c in _rows(batches, "file", "ids"):
+            word, context, both = _sums(c, held, file)
             k = w[_context(context)]
             p = k[:, 0] * both / np.maximum(context, 1) + k[:, 1] * word / max(n_tokens, 1) + k[:, 2] / (n_types + 1)
-            add = lambda x: np.add.reduceat(x, c.first[:-1])
+            add = lambda x: np.add.reduceat(x, c.first[:-1])  # noqa: B023, E731
             base = np.log10((word + 1) / (n_tokens + n_types + 1))
-            columns = [pa.array(held), pa.array(np.diff(c.first)), pa.array(add((word > 0).astype(np.int64))), pa.array(np.full(len(ids), n_tokens, np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type[0]) if id_type else pa.array(ids), *columns], names=names)
+            known, train = add((word > 0).astype(np.int64)), np.full(len(ids), n_tokens, np.int64)
+            columns = [pa.array(held), pa.array(np.diff(c.first)), pa.array(known), pa.array(train), pa.array(add(base)), pa.array(add(np.log10(p)))]
+            yield pa.RecordBatch.from_arrays([ids, *columns], names=names)
 
-    id_type = [pa.int64()] if isinstance(kind, T.LongType) else [pa.int32()] if isinstance(kind, T.IntegerType) else [pa.string()] if isinstance(kind, T.StringType) else []
     fields = [T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))]
     names = [f.name for f in fields]
-    return with_columns(chunks.select("chunk", "ids", "held", "sizes", "blob"), run, fields)
+    return with_columns(chunks.select("file", "ids", "held", "sizes", "blob"), run, fields)
 
 
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
