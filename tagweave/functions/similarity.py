@@ -7,23 +7,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _codes(a: str, b: str) -> tuple[bytearray, bytearray] | None:
+    """Both strings with a byte for each character, never 0; None if they have more than 255 different ones."""
+    try:
+        x, y = a.encode("latin-1"), b.encode("latin-1")
+        if 0 not in x and 0 not in y:
+            return bytearray(x), bytearray(y)
+    except UnicodeEncodeError:
+        pass
+    code = {c: i + 1 for i, c in enumerate(dict.fromkeys(a + b))}
+    return (bytearray(code[c] for c in a), bytearray(code[c] for c in b)) if len(code) < 256 else None
+
+
 def jaro(a: str, b: str) -> float:
+    """Jaro's similarity. A character of a takes the first free one like it in b, not further off than half the longer
+    string; what is taken becomes 0, so the search for the next is one call."""
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    taken, left = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                left.append(c)
-                break
+    codes = _codes(a, b)
+    x, y = codes or (list(a), list(b))
+    reach, left, found = max(0, max(len(a), len(b)) // 2 - 1), [], []
+    for i, c in enumerate(x):
+        low, high = max(0, i - reach), i + reach + 1
+        if codes:
+            j = y.find(c, low, high)
+        else:
+            j = next((k for k in range(low, min(len(y), high)) if y[k] == c), -1)
+        if j >= 0:
+            y[j] = 0
+            left.append(c)
+            found.append(j)
     if not left:
         return 0.0
-    right = [c for c, t in zip(b, taken, strict=True) if t]
-    swaps = sum(x != y for x, y in zip(left, right, strict=True)) // 2
+    own = (codes and _codes(a, b)[1]) or list(b)
+    swaps = sum(p != own[j] for p, j in zip(left, sorted(found), strict=True)) // 2
     m = len(left)
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 

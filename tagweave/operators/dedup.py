@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.similarity import jaro_winkler
 from ..functions.tags import UNKNOWN
@@ -14,12 +13,15 @@ from ..plans.storage import written
 from ..schema import TAGS, with_missing
 from .components import components
 
+#: The fields that a pair is compared in, in the order of the table of doubtful pairs.
 FIELDS = ("title", "author", "doi", "volume", "pages", "number", "year", "abstract", "journal", "isbn")
 #: Keys of the blocks in which records are compared. Titles that are equal at the beginning or at the end (12 letters and
 #: digits) meet whatever else is known; so do equal ones, and those of 24 or more that differ in one place.
 BLOCKS: tuple[tuple[str, ...], ...] = (
     ("doi",), ("title_key",), ("title_end",), ("author_key", "year"), ("journal", "volume", "pages"), ("isbn", "volume", "pages"), ("year", "pages", "volume"),
 )
+#: Titles of less similarity are neither merged nor shown, whatever else is known but a DOI.
+LEAST_TITLE = 0.85
 #: Records of a block that meet in one group of rows; larger blocks are dealt into parts, and every two parts meet.
 PART = 512
 #: Blocks larger than PART, up to which their table is broadcast.
@@ -70,31 +72,35 @@ def _all_pairs(known: DataFrame, key: Sequence[str]) -> DataFrame:
     return both.select(F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2")).where("id1 <> id2")
 
 
-def candidate_pairs(k: DataFrame, blocks: Sequence[Sequence[str]] = BLOCKS, neighbours: int | None = None) -> DataFrame:
-    """id1 < id2 of all records that share a block; with neighbours, of a record and so many that follow it in the order of
-    the block's titles."""
+def candidate_pairs(k: DataFrame, blocks: Sequence[Sequence[str]] = BLOCKS) -> DataFrame:
+    """id1 < id2 of all records that share a block."""
     out = None
     for key in blocks:
-        known = k.where(" and ".join(f"{c} is not null" for c in key)).select("record_id", "title", *(c for c in key if c != "title"))
-        if neighbours is None:
-            pairs = _all_pairs(known, key)
-        else:
-            w = Window.partitionBy(*key).orderBy("title", "record_id")
-            after = known.withColumn("after", F.collect_list("record_id").over(w.rowsBetween(1, neighbours)))
-            pairs = after.select("record_id", F.explode("after").alias("other"))
-            pairs = pairs.select(F.least("record_id", "other").alias("id1"), F.greatest("record_id", "other").alias("id2")).where("id1 <> id2")
+        known = k.where(" and ".join(f"{c} is not null" for c in key)).select("record_id", *key)
+        pairs = _all_pairs(known, key)
         out = pairs if out is None else out.union(pairs)
     return out.distinct()
 
 
 def compared(k: DataFrame, pairs: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """Each pair with both values and the Jaro-Winkler similarity of each field; null where a value is missing."""
-    left = k.select(F.col("record_id").alias("id1"), *(F.col(f).alias(f"{f}1") for f in fields))
-    right = k.select(F.col("record_id").alias("id2"), *(F.col(f).alias(f"{f}2") for f in fields))
-    both = pairs.join(left, "id1").join(right, "id2")
+    side = lambda i, names: k.select(F.col("record_id").alias(f"id{i}"), *(F.col(f).alias(f"{f}{i}") for f in names))
+    both = pairs.join(side(1, fields), "id1").join(side(2, fields), "id2")
     return both.select("id1", "id2", *(F.col(f"{f}{i}") for f in fields for i in (1, 2)), *(jaro_winkler(f"{f}1", f"{f}2").alias(f) for f in fields))
 
 
+def likely(k: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that a rule can hold for, by title and DOI alone: no rule asks for less. Other fields, abstracts among them,
+    are compared only for these. Titles whose lengths are too far apart aren't compared at all: with a letters in the
+    shorter and b in the longer one, Jaro's similarity is (2 + a / b) / 3 at most."""
+    side = lambda i: k.select(F.col("record_id").alias(f"id{i}"), F.col("title").alias(f"title{i}"), F.col("doi").alias(f"doi{i}"))
+    both = pairs.join(side(1), "id1").join(side(2), "id2").withColumn("same_doi", F.coalesce(F.col("doi1") == F.col("doi2"), F.lit(False)))
+    a, b = F.least(F.length("title1"), F.length("title2")), F.greatest(F.length("title1"), F.length("title2"))
+    most = (2 + a / b) / 3
+    both = both.where(F.col("same_doi") | (most + F.lit(0.4) * (1 - most) >= LEAST_TITLE))
+    return both.where(F.col("same_doi") | (jaro_winkler("title1", "title2") >= LEAST_TITLE)).select("id1", "id2")
+
+
 def alike(k: DataFrame) -> DataFrame:
     """record_id and node: the least record with the same values in all compared fields. These have the same pairs."""
     return k.groupBy(*FIELDS, "author_key", "title_key", "title_end").agg(F.min("record_id").alias("node"), F.collect_list("record_id").alias("ids")).select("node", F.explode("ids").alias("record_id"))
@@ -104,21 +110,28 @@ def _at_least(field: str, x: float, missing: bool = False) -> Column:
     return F.coalesce(F.col(field) >= x, F.lit(missing))
 
 
+def _same_numbers() -> Column:
+    """Volumes, issues and the numbers in the titles agree, as far as both records have them; similar ones don't count."""
+    digits = lambda i: F.trim(F.regexp_replace(f"title{i}", r"\P{N}+", " "))
+    return _at_least("volume", 1.0, True) & _at_least("number", 1.0, True) & F.coalesce(digits(1) == digits(2), F.lit(True))
+
+
 def automatic() -> Column:
-    """Pairs that are merged without a look at them."""
-    same_place = _at_least("journal", 0.8, True) & _at_least("year", 1.0, True)
+    """Pairs that are merged without a look at them. Without one DOI nothing is merged across different years, volumes,
+    issues or numbers in titles."""
+    same_place = _at_least("journal", 0.8, True) & _at_least("year", 1.0, True) & _same_numbers()
     numbers = _at_least("volume", 0.95) | _at_least("pages", 0.95) | _at_least("number", 1.0)
     return (
         (_at_least("doi", 1.0) & _at_least("title", 0.85, True))
         | (_at_least("title", 0.99) & _at_least("author", 0.8, True) & same_place & _at_least("doi", 0.95, True) & _at_least("pages", 0.6, True))
         | (_at_least("title", 0.9) & _at_least("author", 0.85) & same_place & numbers & _at_least("doi", 0.95, True))
-        | (_at_least("title", 0.9) & _at_least("abstract", 0.9) & _at_least("author", 0.8, True) & _at_least("doi", 0.95, True))
+        | (_at_least("title", 0.9) & _at_least("abstract", 0.9) & _at_least("author", 0.8, True) & _same_numbers() & _at_least("doi", 0.95, True))
     )
 
 
 def doubtful() -> Column:
     """Pairs that aren't merged but shown."""
-    return ~automatic() & ((_at_least("title", 0.85) & _at_least("author", 0.7, True)) | _at_least("doi", 1.0) | (_at_least("title", 0.95) & _at_least("year", 0.75, True)))
+    return ~automatic() & ((_at_least("title", LEAST_TITLE) & _at_least("author", 0.7, True)) | _at_least("doi", 1.0) | (_at_least("title", 0.95) & _at_least("year", 0.75, True)))
 
 
 def merged(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -151,7 +164,8 @@ def dedup_citations(raw: DataFrame, manual: bool = False, show_unknown_tags: boo
     same = written(alike(k), "citation-alike")
     nodes = k.join(same.where("node = record_id").select("record_id"), "record_id", "left_semi")
     nodes = written(nodes, "citation-nodes")
-    pairs = written(compared(nodes, candidate_pairs(nodes, blocks)).withColumn("auto", automatic()).withColumn("doubt", doubtful()).where("auto or doubt"), "citation-pairs")
+    close = written(likely(nodes, candidate_pairs(nodes, blocks)), "citation-likely")
+    pairs = written(compared(nodes, close).withColumn("auto", automatic()).withColumn("doubt", doubtful()).where("auto or doubt"), "citation-pairs")
     # equal records are a pair to merge if they have a title or a DOI, as automatic() has it; they are never doubtful
     equal = same.where("node <> record_id").join(nodes.where("title is not null or doi is not null").select(F.col("record_id").alias("node")), "node", "left_semi")
     links = pairs.where("auto").select(F.col("id1").alias("a"), F.col("id2").alias("b")).union(equal.select("node", "record_id"))

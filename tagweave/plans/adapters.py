@@ -84,8 +84,17 @@ def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records for fuzzy matching: the first words are the title, the source is the author."""
-    docs = table(spark, sf_dir, "documents")
-    title = F.regexp_extract("text", r"^\s*((?:\S+\s+){0,11}\S+)", 1)
-    return docs.select(F.col("doc_id").cast("string").alias("record_id"), title.alias("title"), F.col("source").alias("author"), "lang")
+def match_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as records with titles of their own, and further records of some of them as other sources have them: of
+    every fifth with other words and without DOI, of every seventh with a slip in the title and another form of the author."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("record_id"), "o_custkey")
+    segments = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lower("c_mktsegment").alias("segment"))
+    code = F.translate("record_id", "0123456789", "abcdefghij")
+    b = bibliography(spark, sf_dir).join(orders.join(segments, "o_custkey").drop("o_custkey"), "record_id")
+    title = F.concat(code, F.lit(" "), "title", F.lit(" in the "), "segment", F.lit(" market of "), code)
+    b = b.withColumn("title", title).withColumn("doi", F.when(F.col("doi").isNotNull(), F.concat(F.lit("10.1000/"), "record_id")))
+    b = b.select("record_id", "author", "year", "title", "journal", "volume", "issue", "pages", "doi", F.lit("A").alias("cite_source"), F.lit("search").alias("cite_label"), F.lit(None).cast("string").alias("cite_string"))
+    n = F.col("record_id").cast("long")
+    second = b.where(n % 5 == 0).withColumns({"record_id": F.concat(F.lit("b"), "record_id"), "title": F.regexp_replace("title", "market", "Markets"), "doi": F.lit(None).cast("string"), "cite_source": F.lit("B")})
+    third = b.where(n % 7 == 0).withColumns({"record_id": F.concat(F.lit("c"), "record_id"), "title": F.regexp_replace("title", " in the ", " in teh "), "author": F.regexp_replace("author", " and .*", ""), "journal": F.lit(None).cast("string"), "cite_source": F.lit("C")})
+    return b.unionByName(second).unionByName(third)

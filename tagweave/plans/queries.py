@@ -13,6 +13,7 @@ from ..operators import analyze, counts, dedup
 from ..operators.components import components
 from ..sources import reader, ris, writers
 from . import adapters
+from .storage import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -237,55 +238,95 @@ _simple(
 )
 
 
+_READ = "SELECT author, title, year, doi, volume, array_to_string(list_sort(string_split(pages, '-')), '-') AS pages, 'orders' AS cite_source, 'search' AS cite_label FROM bib"
+_COLUMNS = ["author", "title", "year", "doi", "volume", "pages"]
+
+
 @_add("ris_parse", "SELECT author, title, year, doi, volume, array_to_string(list_sort(string_split(pages, '-')), '-') AS pages FROM bib", _BIB)
 def _ris_parse(spark: SparkSession, sf: str) -> DataFrame:
     """What the tag parser makes of the lines that the writer makes of the bibliography."""
     b = adapters.bibliography(spark, sf)
-    lines = b.select(F.lit("all").alias("file"), ris.entries(F.array_join(writers.ris_lines(b.select("author", "title", "year", "doi", "volume", "pages")), "\r\n")).alias("entries"))
-    return ris.citations(ris.with_fields(lines), ["author", "title", "year", "doi", "volume", "pages"]).drop("file")
+    lines = b.select(F.lit("all").alias("file"), ris.entries(F.array_join(writers.ris_lines(b.select(*_COLUMNS)), "\r\n")).alias("entries"))
+    return ris.citations(ris.with_fields(lines), _COLUMNS).drop("file")
 
 
-_bib("pages_split", lambda b: b.select("record_id", F.split("pages", "-")[0].alias("start_page"), F.split("pages", "-")[1].alias("end_page")), "SELECT record_id, string_split(pages, '-')[1] AS start_page, string_split(pages, '-')[2] AS end_page FROM bib")
-_add("year_extract", "SELECT o_orderkey, regexp_extract(strftime(o_orderdate, '%d %b %Y'), '\\d{4}') AS year FROM orders", "")(lambda s, d: adapters.table(s, d, "orders").select("o_orderkey", F.regexp_extract(F.date_format("o_orderdate", "dd MMM yyyy"), r"\d{4}", 0).alias("year")))
+def _read_back(kind: str, write: Callable[[DataFrame, str], None], columns: list[str], sql: str) -> None:
+    """The bibliography, written to a folder of files by an export and read from there by the import."""
 
-# fuzzy matching
-_HEAD = "WITH h AS (SELECT doc_id::VARCHAR AS record_id, regexp_extract(text, '^\\s*((?:\\S+\\s+){0,11}\\S+)', 1) AS title, source AS author, lang FROM documents)"
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        path = fresh_dir(spark, f"orders.{kind}")
+        write(adapters.bibliography(spark, sf), path)
+        return reader.read_citations(spark, [path], cite_sources=["orders"], cite_labels=["search"]).select(*columns, "cite_source", "cite_label")
 
+    _add(f"read_{kind}", sql, _BIB)(run)
 
-def _pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    h = adapters.headlines(spark, sf)
-    return h, dedup.candidate_pairs(h, [("author", "lang")], 10)
 
+def _write_nbib(b: DataFrame, path: str) -> None:
+    line = lambda tag, c: F.concat(F.lit(f"{tag:<4}- "), c)
+    head, tail = F.substring_index("title", " ", 1), F.substring_index("title", " ", -1)
+    authors = F.array_join(F.transform(F.split("author", " and "), lambda x: line("AU", x)), "\n")
+    doi = F.when(F.col("doi").isNotNull(), line("AID", F.concat("doi", F.lit(" [doi]"))))
+    parts = [line("PMID", F.col("record_id")), line("TI", F.concat(head, F.lit("\n      "), tail)), authors, line("DP", F.concat("year", F.lit(" Jan"))), line("VI", F.col("volume")), line("PG", F.col("pages")), doi]
+    b.select(F.concat(F.concat_ws("\n", *parts), F.lit("\n"))).write.text(path)
 
-_NEXT = """, w AS (SELECT a.record_id AS x, a.title AS t, b.record_id AS y, b.title AS u FROM (SELECT *, row_number() OVER (PARTITION BY author, lang ORDER BY title, record_id) AS n FROM h) a
-  JOIN (SELECT *, row_number() OVER (PARTITION BY author, lang ORDER BY title, record_id) AS n FROM h) b ON a.author = b.author AND a.lang = b.lang AND b.n > a.n AND b.n <= a.n + 10),
-p AS (SELECT DISTINCT least(x, y) AS id1, greatest(x, y) AS id2, CASE WHEN x < y THEN t ELSE u END AS t, CASE WHEN x < y THEN u ELSE t END AS u FROM w) """
 
+_read_back("ris", lambda b, path: writers.export_ris(b.select(*_COLUMNS), path), _COLUMNS, _READ)
+_read_back("nbib", _write_nbib, _COLUMNS, _READ)
+_read_back("csv", lambda b, path: writers.export_csv(b.drop("source"), path), [*_COLUMNS, "journal", "url"], _READ.replace("array_to_string(list_sort(string_split(pages, '-')), '-') AS pages", "pages, journal, url"))
+_read_back("bib", lambda b, path: writers.export_bib(b.select(*_COLUMNS, "url"), path), [*_COLUMNS, "url"], _READ.replace("array_to_string(list_sort(string_split(pages, '-')), '-') AS pages", "pages, url"))
 
-def _with_titles(spark: SparkSession, sf: str, score: Callable) -> DataFrame:
-    h, p = _pairs(spark, sf)
-    h = h.where(~F.col("title").rlike(r"[^\x00-\x7F]"))
-    t = lambda i: h.select(F.col("record_id").alias(f"id{i}"), F.col("title").alias(f"t{i}"))
-    return p.join(t(1), "id1").join(t(2), "id2").select("id1", "id2", score("t1", "t2").alias("score"))
 
+_bib("pages_split", lambda b: b.select("record_id", F.split("pages", "-")[0].alias("start_page"), F.split("pages", "-")[1].alias("end_page")), "SELECT record_id, string_split(pages, '-')[1] AS start_page, string_split(pages, '-')[2] AS end_page FROM bib")
+_add("year_extract", "SELECT o_orderkey, regexp_extract(strftime(o_orderdate, '%d %b %Y'), '\\d{4}') AS year FROM orders", "")(lambda s, d: adapters.table(s, d, "orders").select("o_orderkey", F.regexp_extract(F.date_format("o_orderdate", "dd MMM yyyy"), r"\d{4}", 0).alias("year")))
 
-#: DuckDB's metrics count bytes, so queries with SQL compare the pairs of ASCII titles; fuzzy_dedup compares all.
-_ASCII = " WHERE NOT regexp_matches(t, '[^\\x00-\\x7F]') AND NOT regexp_matches(u, '[^\\x00-\\x7F]')"
-_add("fuzzy_pairs_jw", _NEXT + "SELECT id1, id2, round(jaro_winkler_similarity(t, u), 6) AS score FROM p" + _ASCII, _HEAD)(lambda s, d: _with_titles(s, d, lambda a, b: F.round(jaro_winkler(a, b), 6)))
-_add("levenshtein_pairs", _NEXT + "SELECT id1, id2, levenshtein(t, u)::INTEGER AS score FROM p" + _ASCII, _HEAD)(lambda s, d: _with_titles(s, d, F.levenshtein))
+# fuzzy matching
+_MATCH = _BIB + """, c AS (SELECT c_custkey, lower(c_mktsegment) AS segment FROM customer),
+m1 AS (SELECT record_id, author, year, translate(record_id, '0123456789', 'abcdefghij') || ' ' || title || ' in the ' || segment || ' market of ' || translate(record_id, '0123456789', 'abcdefghij') AS title,
+    journal, volume, issue, pages, CASE WHEN doi IS NOT NULL THEN '10.1000/' || record_id END AS doi, 'A' AS cite_source
+  FROM bib JOIN orders ON o_orderkey::VARCHAR = record_id JOIN c ON o_custkey = c_custkey),
+m AS (SELECT * FROM m1 UNION ALL SELECT 'b' || record_id, author, year, replace(title, 'market', 'Markets'), journal, volume, issue, pages, NULL, 'B' FROM m1 WHERE record_id::BIGINT % 5 = 0
+  UNION ALL SELECT 'c' || record_id, regexp_replace(author, ' and .*', ''), year, replace(title, ' in the ', ' in teh '), NULL, volume, issue, pages, doi, 'C' FROM m1 WHERE record_id::BIGINT % 7 = 0),
+k AS (SELECT record_id, trim(regexp_replace(upper(title), '[^A-Z0-9]+', ' ', 'g')) AS title, trim(regexp_replace(upper(author), '[^A-Z0-9]+', ' ', 'g')) AS author, lower(doi) AS doi, volume,
+    trim(regexp_replace(pages, '[^A-Z0-9]+', ' ', 'g')) AS pages, issue AS number, year, trim(regexp_replace(upper(journal), '[^A-Z0-9]+', ' ', 'g')) AS journal,
+    regexp_extract(upper(author), '^([A-Z]+)', 1) AS author_key, regexp_replace(upper(title), '[^A-Z0-9]+', '', 'g') AS letters FROM m),
+"""
+_CANDIDATES = """x AS (SELECT *, substr(letters, 1, 12) AS title_key, right(letters, 12) AS title_end FROM k),
+p AS (""" + " UNION ".join(f"SELECT least(a.record_id, b.record_id) AS id1, greatest(a.record_id, b.record_id) AS id2 FROM x a JOIN x b USING ({key}) WHERE a.record_id < b.record_id" for key in ("doi", "title_key", "title_end", "author_key, year", "journal, volume, pages", "year, pages, volume")) + """),
+s AS (SELECT id1, id2, a.title AS t1, b.title AS t2, a.author AS a1, b.author AS a2, jaro_winkler_similarity(a.title, b.title) AS title, jaro_winkler_similarity(a.author, b.author) AS author, jaro_winkler_similarity(a.doi, b.doi) AS doi,
+    jaro_winkler_similarity(a.journal, b.journal) AS journal, jaro_winkler_similarity(a.pages, b.pages) AS pages, a.year = b.year AS same_year, a.volume = b.volume AS same_volume, a.number = b.number AS same_number
+  FROM p JOIN k a ON id1 = a.record_id JOIN k b ON id2 = b.record_id),
+r AS (SELECT *, (doi = 1 AND title >= 0.85) OR (coalesce(journal >= 0.8, true) AND same_year AND coalesce(same_volume, true) AND coalesce(same_number, true) AND coalesce(doi >= 0.95, true)
+    AND ((title >= 0.99 AND author >= 0.8 AND coalesce(pages >= 0.6, true)) OR (title >= 0.9 AND author >= 0.85 AND (coalesce(same_volume, false) OR coalesce(pages >= 0.95, false) OR coalesce(same_number, false))))) AS auto FROM s),
+e AS (SELECT id1 AS a, id2 AS b FROM r WHERE auto UNION SELECT id2, id1 FROM r WHERE auto), w AS (SELECT record_id, record_id AS t FROM m UNION SELECT w.record_id, e.b FROM w JOIN e ON w.t = e.a),
+g AS (SELECT record_id, min(t) AS duplicate_id FROM w GROUP BY record_id)
+"""
+
+
+def _blocked(spark: SparkSession, sf: str, score: Callable) -> DataFrame:
+    """All pairs of a journal, volume and page range, with a score of their titles."""
+    k = dedup.keys(dedup.normalised(adapters.match_records(spark, sf)))
+    t = lambda i: k.select(F.col("record_id").alias(f"id{i}"), F.col("title").alias(f"t{i}"))
+    return dedup.candidate_pairs(k, [("journal", "volume", "pages")]).join(t(1), "id1").join(t(2), "id2").select("id1", "id2", score("t1", "t2").alias("score"))
+
+
+_SCORED = "p AS (SELECT least(a.record_id, b.record_id) AS id1, greatest(a.record_id, b.record_id) AS id2, a.title AS t, b.title AS u FROM k a JOIN k b USING (journal, volume, pages) WHERE a.record_id < b.record_id) "
+_add("fuzzy_pairs_jw", _SCORED + "SELECT id1, id2, round(jaro_winkler_similarity(t, u), 6) AS score FROM p", _MATCH)(lambda s, d: _blocked(s, d, lambda a, b: F.round(jaro_winkler(a, b), 6)))
+_add("levenshtein_pairs", _SCORED + "SELECT id1, id2, levenshtein(t, u)::INTEGER AS score FROM p", _MATCH)(lambda s, d: _blocked(s, d, F.levenshtein))
 
 
 def _links(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts of the same order are linked with the next part of it, orders of even size alone: long chains and stars."""
-    n = adapters.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b"), F.count("*").alias("n"))
-    return n.where("n = 2 and a <> b").select("a", "b")
+    """Each part of an order is linked with the order's least part."""
+    items = adapters.table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("b"))
+    least = items.groupBy("l_orderkey").agg(F.min("b").alias("a"))
+    return items.join(least, "l_orderkey").where("a <> b").select("a", "b").distinct()
 
 
 _add(
     "components",
-    """WITH RECURSIVE l AS (SELECT min(l_partkey) AS a, max(l_partkey) AS b FROM lineitem GROUP BY l_orderkey HAVING count(*) = 2 AND min(l_partkey) <> max(l_partkey)),
-u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS node, a AS t FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.t = u.a)
-SELECT node, min(t) AS component FROM r GROUP BY node""",
+    """WITH RECURSIVE l AS (SELECT DISTINCT min(l_partkey) OVER (PARTITION BY l_orderkey) AS a, l_partkey AS b FROM lineitem), n AS (SELECT a, b FROM l WHERE a <> b),
+u AS (SELECT a, b FROM n UNION SELECT b, a FROM n), r AS (SELECT min(a) AS t FROM u UNION SELECT u.b FROM r JOIN u ON r.t = u.a), s AS (SELECT count(*) AS n FROM r),
+v AS (SELECT a AS node, a AS t FROM u WHERE a NOT IN (SELECT t FROM r) UNION SELECT v.node, u.b FROM v JOIN u ON v.t = u.a)
+SELECT t AS node, min(t) OVER () AS component FROM r UNION ALL SELECT node, min(t) FROM v GROUP BY node""",
     "",
 )(lambda s, d: components(_links(s, d)).groupBy("node").agg(F.min("component").alias("component")))
 
@@ -302,13 +343,24 @@ def _manual_merge(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.add_manual_pairs(u, odd.join(u.select(F.col("duplicate_id").alias("duplicate_id1")), "duplicate_id1", "left_semi"))
 
 
-@_add("fuzzy_dedup")
+@_add(
+    "fuzzy_dedup",
+    _CANDIDATES
+    + """, z AS (SELECT m.*, duplicate_id, row_number() OVER (PARTITION BY duplicate_id ORDER BY doi IS NOT NULL DESC, (journal IS NOT NULL)::INT + 2 * (issue IS NOT NULL)::INT DESC, record_id DESC) AS n FROM m JOIN g USING (record_id))
+SELECT duplicate_id, string_agg(record_id, ', ' ORDER BY record_id) AS record_ids, string_agg(cite_source, ', ' ORDER BY record_id) AS cite_source, max(CASE WHEN n = 1 THEN title END) AS title, max(doi) AS doi FROM z GROUP BY duplicate_id""",
+    _MATCH.replace("WITH f AS", "WITH RECURSIVE f AS", 1),
+)
 def _fuzzy_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    h = adapters.headlines(spark, sf).withColumnRenamed("lang", "cite_string").withColumn("cite_source", F.col("author")).withColumn("cite_label", F.lit("search"))
-    return dedup.dedup_citations(h).select("duplicate_id", "record_ids", "cite_source", "title")
+    return dedup.dedup_citations(adapters.match_records(spark, sf)).select("duplicate_id", "record_ids", "cite_source", "title", "doi")
 
 
-@_add("fuzzy_dedup_manual")
+@_add(
+    "fuzzy_dedup_manual",
+    _CANDIDATES
+    + """SELECT id1, id2, a.duplicate_id AS duplicate_id1, b.duplicate_id AS duplicate_id2, t1 AS title1, t2 AS title2, round(title, 6) AS title, round(author, 6) AS author
+FROM r JOIN g a ON id1 = a.record_id JOIN g b ON id2 = b.record_id WHERE NOT coalesce(auto, false) AND ((title >= 0.85 AND author >= 0.7) OR doi = 1 OR (title >= 0.95 AND same_year)) AND a.duplicate_id <> b.duplicate_id""",
+    _MATCH.replace("WITH f AS", "WITH RECURSIVE f AS", 1),
+)
 def _fuzzy_manual(spark: SparkSession, sf: str) -> DataFrame:
-    h = adapters.headlines(spark, sf).withColumnRenamed("lang", "cite_string").withColumn("cite_source", F.col("author"))
-    return dedup.dedup_citations(h, manual=True)[1].select("duplicate_id1", "duplicate_id2", "title1", "title2", "title", "author")
+    pairs = dedup.dedup_citations(adapters.match_records(spark, sf), manual=True)[1]
+    return pairs.select("id1", "id2", "duplicate_id1", "duplicate_id2", "title1", "title2", F.round("title", 6).alias("title"), F.round("author", 6).alias("author"))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one."""
+    """The folder named in spark.checkpoint.dir; where that is unset and Spark runs in one process (tests), a temporary one.
+    On a cluster an unset folder is an error: executors would write to folders of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster sees")
         found = "file://" + tempfile.mkdtemp(prefix="tagweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,6 +31,18 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return uri
 
 
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; it must be cheap to count (a written table)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def filesystem(uri: str):
+    """pyarrow's file system and path for a URI (file, hdfs, s3, gs) or a path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends there, and lost executors cost nothing that is done."""
     spark, uri = df.sparkSession, fresh_dir(df.sparkSession, label)

@@ -25,6 +25,28 @@ PUBMED_FIELDS: dict[str, str] = {
     "VI": "volume", "IP": "issue", "PG": "pages", "AID": "article_id", "LID": "article_id", "IS": "issn", "LA": "language", "MH": "keywords", "OT": "term_other", "PT": "type",
 }
 
+#: Tags of several databases' exports that mean something else than RIS_FIELDS says, or that it lacks; the public formats.
+DIALECTS: dict[str, dict[str, str]] = {
+    "wos": {
+        "PT": "type", "AU": "author", "AF": "author_full", "TI": "title", "SO": "journal", "LA": "language", "DT": "document_type", "DE": "keywords", "ID": "keywords_plus", "AB": "abstract", "C1": "address",
+        "RP": "reprint_address", "EM": "email", "CR": "references", "NR": "n_references", "TC": "times_cited", "PU": "publisher", "PI": "place", "PA": "publisher_address", "SN": "issn", "EI": "eissn",
+        "BN": "isbn", "J9": "journal_abbreviation", "JI": "journal_iso", "PD": "date", "PY": "year", "VL": "volume", "IS": "issue", "BP": "pages", "EP": "pages", "AR": "article_number", "DI": "doi", "PG": "n_pages",
+        "WC": "category", "SC": "research_area", "GA": "document_delivery", "UT": "accession", "PM": "pubmed_id",
+    },
+    "scopus": {
+        "TY": "type", "TI": "title", "T2": "journal", "J2": "journal_abbreviation", "VL": "volume", "IS": "issue", "SP": "pages", "EP": "pages", "PY": "year", "DO": "doi", "SN": "issn", "AU": "author", "AD": "address",
+        "AB": "abstract", "KW": "keywords", "PB": "publisher", "N1": "notes", "M3": "document_type", "DB": "database", "C2": "pubmed_id", "C7": "article_number", "LA": "language", "UR": "url", "A2": "editor",
+    },
+    "ovid": {
+        "TY": "type", "ID": "ID", "T1": "title", "A1": "author", "Y1": "year", "N2": "abstract", "KW": "keywords", "JF": "journal", "JA": "journal_abbreviation", "LA": "language", "VL": "volume", "IS": "issue",
+        "SP": "pages", "EP": "pages", "CY": "place", "PB": "publisher", "SN": "issn", "AD": "address", "M1": "accession", "M2": "notes", "UR": "url", "DO": "doi", "XT": "document_type",
+    },
+    "asp": {
+        "TY": "type", "ID": "accession", "T1": "title", "AU": "author", "A1": "author", "Y1": "year", "N2": "abstract", "KW": "keywords", "JF": "journal", "JO": "journal", "VL": "volume", "IS": "issue", "SP": "pages",
+        "EP": "pages", "PB": "publisher", "SN": "issn", "AD": "address", "M3": "document_type", "N1": "notes", "UR": "url", "DP": "database_provider", "DB": "database",
+    },
+}
+
 
 def with_missing(df: DataFrame, columns: list[str] | tuple[str, ...]) -> DataFrame:
     """df with the columns that it lacks, as null strings."""

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import re
 import warnings
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import filesystem
 from ..schema import KEY_FIELDS, RIS_FIELDS, TAGS, require
 from . import bibtex, ris
 
@@ -56,11 +60,51 @@ def detect_delimiter(lines: Sequence[str]) -> str:
     raise ValueError("records have no delimiter")
 
 
-def sniff(spark: SparkSession, path: str) -> tuple[str | None, str]:
-    """Kind and delimiter of a file, from its first lines."""
-    lines = [r.value.lstrip("﻿") for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
-    kind = detect_parser(lines)
-    return kind, detect_delimiter(lines) if kind in ("ris", "pubmed") else ""
+def qualified(spark: SparkSession, path: str) -> str:
+    """path as Spark names it in a row's metadata, but for the number of slashes after file:."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+
+
+def first_lines(uri: str, n: int = SNIFF_LINES) -> list[str]:
+    """The first lines of a file, or of the first files of a folder; compressed ones by their suffix."""
+    from pyarrow import fs
+
+    system, path = filesystem(uri)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        files = sorted(f.path for f in system.get_file_info(fs.FileSelector(path)) if f.is_file and f.base_name[0] not in "._")
+    else:
+        files = [path]
+    lines: list[str] = []
+    for f in files:
+        with io.TextIOWrapper(system.open_input_stream(f, compression="detect"), encoding="utf-8", errors="replace") as text:
+            lines += [x.rstrip("\n").lstrip("\ufeff") for x in islice(text, n - len(lines))]
+        if len(lines) >= n:
+            break
+    return lines
+
+
+def sniff(spark: SparkSession, files: Sequence[str]) -> list[tuple[str | None, str]]:
+    """Kind and delimiter of each file, from its first lines; one job for all files, and no more than these lines are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds, delimiters = [], []
+            for uri in b.column("uri").to_pylist():
+                lines = first_lines(uri)
+                kinds.append(detect_parser(lines))
+                try:
+                    delimiters.append(detect_delimiter(lines) if kinds[-1] in ("ris", "pubmed") else "")
+                except ValueError:
+                    delimiters.append(None)
+            yield pa.RecordBatch.from_arrays([b.column("at"), pa.array(kinds, pa.string()), pa.array(delimiters, pa.string())], names=["at", "kind", "delimiter"])
+
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "at long, uri string").repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism)))
+    found = {r.at: r for r in rows.mapInArrow(run, "at long, kind string, delimiter string").collect()}  # a row a file named in the call
+    for i, f in enumerate(files):
+        if found[i].delimiter is None:
+            raise ValueError(f"{f}: records have no delimiter")
+    return [(found[i].kind, found[i].delimiter) for i in range(len(files))]
 
 
 def match_columns(df: DataFrame) -> DataFrame:
@@ -90,12 +134,12 @@ def read_delimited(spark: SparkSession, files: Sequence[str], sep: str) -> DataF
     return match_columns(own)
 
 
-def read_refs(spark: SparkSession, files: Sequence[str], tag_naming: Mapping[str, str] | None = None, fields: Sequence[str] | None = None) -> DataFrame:
+def read_refs(spark: SparkSession, files: Sequence[str], tag_naming: Mapping[str, str] | str | None = "best_guess", fields: Sequence[str] | None = None) -> DataFrame:
     """file and the columns of citation files, union by name; fields: only these, where they occur. A file of no known kind
     is left out with a warning."""
     groups: dict[tuple[str, str], list[str]] = {}
-    for f in files:
-        kind, delimiter = sniff(spark, f)
+    files = [qualified(spark, f) for f in files]
+    for f, (kind, delimiter) in zip(files, sniff(spark, files), strict=True):
         if kind is None:
             warnings.warn(f"{f}: no known kind of citation file", stacklevel=2)
         else:
@@ -128,8 +172,12 @@ def drop_near_empty(df: DataFrame, ignore: Sequence[str] = ("file", *TAGS)) -> D
 
 
 def tagged(df: DataFrame, tags: DataFrame, by: str = "file") -> DataFrame:
-    """df with the provenance tags of each file; tags has a row a file."""
-    return df.join(tags, by, "left").drop(by)
+    """df with the provenance tags of each file, or of the folder that it lies in; tags has a row a file or folder."""
+    own = [c for c in tags.columns if c != by]
+    folder = tags.select(F.col(by).alias("__folder"), *(F.col(c).alias(f"__{c}") for c in own), F.lit(True).alias("__in"))
+    out = df.withColumn(by, F.regexp_replace(by, "^file:/+", "file:/")).withColumn("__folder", F.regexp_replace(by, "/[^/]*$", "")).join(tags, by, "left").join(folder, "__folder", "left")
+    out = out.withColumns({c: F.when(F.col("__in"), F.col(f"__{c}")).otherwise(F.col(c)) for c in own})
+    return out.drop(by, "__folder", "__in", *(f"__{c}" for c in own))
 
 
 def read_citations(
@@ -139,13 +187,14 @@ def read_citations(
     cite_strings: Sequence[str | None] | None = None,
     cite_labels: Sequence[str | None] | None = None,
     metadata: Mapping[str, Sequence] | None = None,
-    tag_naming: Mapping[str, str] | None = None,
+    tag_naming: Mapping[str, str] | str | None = "best_guess",
     only_key_fields: bool | Sequence[str] = True,
 ) -> DataFrame:
     """Citations of files with the tags cite_source, cite_label and cite_string, one of each a file.
 
     Sources are by default the files' stems, made unique. only_key_fields: False for all fields, or further fields to keep.
-    metadata: files, cite_sources, cite_strings and cite_labels in one mapping."""
+    metadata: files, cite_sources, cite_strings and cite_labels in one mapping. A file may be a folder of files.
+    tag_naming: as ris.with_fields has it."""
     if (files is None) == (metadata is None):
         raise ValueError("either files or metadata")
     if metadata is not None:
@@ -159,8 +208,8 @@ def read_citations(
         if any("," in v for v in x if v):
             raise ValueError(f"{what}: no commas, which part the items of a list")
     fields = None if only_key_fields is False else [*KEY_FIELDS, *(only_key_fields if not isinstance(only_key_fields, bool) else ())]
-    paths = [spark.read.text(f).select(F.col("_metadata.file_path")).limit(1).collect() for f in files]
-    tags = spark.createDataFrame([(p[0][0], *t) for p, t in zip(paths, zip(sources, labels, strings, strict=True), strict=True) if p], "file string, cite_source string, cite_label string, cite_string string")
+    rows = [(re.sub("^file:/+", "file:/", qualified(spark, f)).rstrip("/"), *t) for f, t in zip(files, zip(sources, labels, strings, strict=True), strict=True)]
+    tags = spark.createDataFrame(rows, "file string, cite_source string, cite_label string, cite_string string").dropDuplicates(["file"])
     return tagged(drop_near_empty(read_refs(spark, files, tag_naming, fields)), F.broadcast(tags))  # a row a file named in this call
 
 
@@ -171,12 +220,14 @@ def reimport_csv(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def reimport_ris(spark: SparkSession, path: str, source_field: str = "DB", label_field: str = "C7", string_field: str = "C8", duplicate_id_field: str = "C1", record_id_field: str = "C2", tag_naming: Mapping[str, str] | None = None) -> DataFrame:
-    """Unique citations that export_ris wrote; identifiers that a file lacks are numbers of its rows."""
+def reimport_ris(spark: SparkSession, path: str, source_field: str = "DB", label_field: str = "C7", string_field: str = "C8", duplicate_id_field: str = "C1", record_id_field: str = "C2", tag_naming: Mapping[str, str] | str | None = None) -> DataFrame:
+    """Unique citations that export_ris wrote; identifiers that a file lacks are numbers of its rows. tag_naming: one of
+    ris.NAMINGS or further names for tags."""
     from ..operators.numbering import numbered
 
     own = {source_field: "cite_source", label_field: "cite_label", string_field: "cite_string", duplicate_id_field: "duplicate_id", record_id_field: "record_ids"}
-    df = read_refs(spark, [path], dict(tag_naming or {}) | {k: v for k, v in own.items() if k}).drop("file")
+    names = dict(ris.NAMINGS[tag_naming] if isinstance(tag_naming, str) else tag_naming or {})
+    df = read_refs(spark, [path], names | {k: v for k, v in own.items() if k}).drop("file")
     df = df.withColumns({c: F.lit(None).cast("string") for c in TAGS if c not in df.columns})
     for c in ("duplicate_id", "record_ids"):
         if c not in df.columns:
