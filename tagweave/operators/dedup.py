@@ -55,7 +55,7 @@ def keys(df: DataFrame) -> DataFrame:
         squeezed("author").alias("author"),
         doi.alias("doi"),
         *(squeezed(c).alias(c) for c in ("volume", "pages", "number", "year", "abstract", "journal", "isbn")),
-        F.nullif(F.regexp_extract(F.upper("author"), r"^\s*([\p{L}'-]+)", 1), F.lit("")).alias("author_key"),
+        F.nullif(F.regexp_extract(F.upper("author"), r"^\s*([\p{L}\p{N}'-]+)", 1), F.lit("")).alias("author_key"),
         F.nullif(F.substring(letters, 1, 12), F.lit("")).alias("title_key"),
         F.nullif(F.right(letters, F.lit(12)), F.lit("")).alias("title_end"),
     )
@@ -117,15 +117,15 @@ def _same_numbers() -> Column:
 
 
 def automatic() -> Column:
-    """Pairs that are merged without a look at them. Without one DOI nothing is merged across different years, volumes,
+    """Pairs that are merged without a look at them. Without one DOI nothing is merged across different DOIs, years, volumes,
     issues or numbers in titles."""
     same_place = _at_least("journal", 0.8, True) & _at_least("year", 1.0, True) & _same_numbers()
     numbers = _at_least("volume", 0.95) | _at_least("pages", 0.95) | _at_least("number", 1.0)
     return (
         (_at_least("doi", 1.0) & _at_least("title", 0.85, True))
-        | (_at_least("title", 0.99) & _at_least("author", 0.8, True) & same_place & _at_least("doi", 0.95, True) & _at_least("pages", 0.6, True))
-        | (_at_least("title", 0.9) & _at_least("author", 0.85) & same_place & numbers & _at_least("doi", 0.95, True))
-        | (_at_least("title", 0.9) & _at_least("abstract", 0.9) & _at_least("author", 0.8, True) & _same_numbers() & _at_least("doi", 0.95, True))
+        | (_at_least("title", 0.99) & _at_least("author", 0.8, True) & same_place & _at_least("doi", 1.0, True) & _at_least("pages", 0.6, True))
+        | (_at_least("title", 0.9) & _at_least("author", 0.85) & same_place & numbers & _at_least("doi", 1.0, True))
+        | (_at_least("title", 0.9) & _at_least("abstract", 0.9) & _at_least("author", 0.8, True) & _same_numbers() & _at_least("doi", 1.0, True))
     )
 
 
@@ -165,7 +165,7 @@ def dedup_citations(raw: DataFrame, manual: bool = False, show_unknown_tags: boo
     nodes = k.join(same.where("node = record_id").select("record_id"), "record_id", "left_semi")
     nodes = written(nodes, "citation-nodes")
     close = written(likely(nodes, candidate_pairs(nodes, blocks)), "citation-likely")
-    pairs = written(compared(nodes, close).withColumn("auto", automatic()).withColumn("doubt", doubtful()).where("auto or doubt"), "citation-pairs")
+    pairs = written(written(compared(nodes, close), "citation-compared").withColumn("auto", automatic()).withColumn("doubt", doubtful()).where("auto or doubt"), "citation-pairs")
     # equal records are a pair to merge if they have a title or a DOI, as automatic() has it; they are never doubtful
     equal = same.where("node <> record_id").join(nodes.where("title is not null or doi is not null").select(F.col("record_id").alias("node")), "node", "left_semi")
     links = pairs.where("auto").select(F.col("id1").alias("a"), F.col("id2").alias("b")).union(equal.select("node", "record_id"))

@@ -271,9 +271,9 @@ def _write_nbib(b: DataFrame, path: str) -> None:
 
 
 _read_back("ris", lambda b, path: writers.export_ris(b.select(*_COLUMNS), path), _COLUMNS, _READ)
-_read_back("nbib", _write_nbib, _COLUMNS, _READ)
+_read_back("nbib", _write_nbib, _COLUMNS, _READ.replace("list_sort(string_split(pages, '-'))", "list_sort([pages])"))
 _read_back("csv", lambda b, path: writers.export_csv(b.drop("source"), path), [*_COLUMNS, "journal", "url"], _READ.replace("array_to_string(list_sort(string_split(pages, '-')), '-') AS pages", "pages, journal, url"))
-_read_back("bib", lambda b, path: writers.export_bib(b.select(*_COLUMNS, "url"), path), [*_COLUMNS, "url"], _READ.replace("array_to_string(list_sort(string_split(pages, '-')), '-') AS pages", "pages, url"))
+_read_back("bib", lambda b, path: writers.export_bib(b.select(*_COLUMNS, "url"), path, ()), [*_COLUMNS, "url"], _READ.replace("array_to_string(list_sort(string_split(pages, '-')), '-') AS pages", "pages, url"))
 
 
 _bib("pages_split", lambda b: b.select("record_id", F.split("pages", "-")[0].alias("start_page"), F.split("pages", "-")[1].alias("end_page")), "SELECT record_id, string_split(pages, '-')[1] AS start_page, string_split(pages, '-')[2] AS end_page FROM bib")
@@ -288,14 +288,14 @@ m AS (SELECT * FROM m1 UNION ALL SELECT 'b' || record_id, author, year, replace(
   UNION ALL SELECT 'c' || record_id, regexp_replace(author, ' and .*', ''), year, replace(title, ' in the ', ' in teh '), NULL, volume, issue, pages, doi, 'C' FROM m1 WHERE record_id::BIGINT % 7 = 0),
 k AS (SELECT record_id, trim(regexp_replace(upper(title), '[^A-Z0-9]+', ' ', 'g')) AS title, trim(regexp_replace(upper(author), '[^A-Z0-9]+', ' ', 'g')) AS author, lower(doi) AS doi, volume,
     trim(regexp_replace(pages, '[^A-Z0-9]+', ' ', 'g')) AS pages, issue AS number, year, trim(regexp_replace(upper(journal), '[^A-Z0-9]+', ' ', 'g')) AS journal,
-    regexp_extract(upper(author), '^([A-Z]+)', 1) AS author_key, regexp_replace(upper(title), '[^A-Z0-9]+', '', 'g') AS letters FROM m),
+    regexp_extract(upper(author), '^([A-Z0-9]+)', 1) AS author_key, regexp_replace(upper(title), '[^A-Z0-9]+', '', 'g') AS letters FROM m),
 """
 _CANDIDATES = """x AS (SELECT *, substr(letters, 1, 12) AS title_key, right(letters, 12) AS title_end FROM k),
 p AS (""" + " UNION ".join(f"SELECT least(a.record_id, b.record_id) AS id1, greatest(a.record_id, b.record_id) AS id2 FROM x a JOIN x b USING ({key}) WHERE a.record_id < b.record_id" for key in ("doi", "title_key", "title_end", "author_key, year", "journal, volume, pages", "year, pages, volume")) + """),
 s AS (SELECT id1, id2, a.title AS t1, b.title AS t2, a.author AS a1, b.author AS a2, jaro_winkler_similarity(a.title, b.title) AS title, jaro_winkler_similarity(a.author, b.author) AS author, jaro_winkler_similarity(a.doi, b.doi) AS doi,
     jaro_winkler_similarity(a.journal, b.journal) AS journal, jaro_winkler_similarity(a.pages, b.pages) AS pages, a.year = b.year AS same_year, a.volume = b.volume AS same_volume, a.number = b.number AS same_number
   FROM p JOIN k a ON id1 = a.record_id JOIN k b ON id2 = b.record_id),
-r AS (SELECT *, (doi = 1 AND title >= 0.85) OR (coalesce(journal >= 0.8, true) AND same_year AND coalesce(same_volume, true) AND coalesce(same_number, true) AND coalesce(doi >= 0.95, true)
+r AS (SELECT *, (doi = 1 AND title >= 0.85) OR (coalesce(journal >= 0.8, true) AND same_year AND coalesce(same_volume, true) AND coalesce(same_number, true) AND coalesce(doi >= 1, true)
     AND ((title >= 0.99 AND author >= 0.8 AND coalesce(pages >= 0.6, true)) OR (title >= 0.9 AND author >= 0.85 AND (coalesce(same_volume, false) OR coalesce(pages >= 0.95, false) OR coalesce(same_number, false))))) AS auto FROM s),
 e AS (SELECT id1 AS a, id2 AS b FROM r WHERE auto UNION SELECT id2, id1 FROM r WHERE auto), w AS (SELECT record_id, record_id AS t FROM m UNION SELECT w.record_id, e.b FROM w JOIN e ON w.t = e.a),
 g AS (SELECT record_id, min(t) AS duplicate_id FROM w GROUP BY record_id)
@@ -347,7 +347,7 @@ def _manual_merge(spark: SparkSession, sf: str) -> DataFrame:
     "fuzzy_dedup",
     _CANDIDATES
     + """, z AS (SELECT m.*, duplicate_id, row_number() OVER (PARTITION BY duplicate_id ORDER BY doi IS NOT NULL DESC, (journal IS NOT NULL)::INT + 2 * (issue IS NOT NULL)::INT DESC, record_id DESC) AS n FROM m JOIN g USING (record_id))
-SELECT duplicate_id, string_agg(record_id, ', ' ORDER BY record_id) AS record_ids, string_agg(cite_source, ', ' ORDER BY record_id) AS cite_source, max(CASE WHEN n = 1 THEN title END) AS title, max(doi) AS doi FROM z GROUP BY duplicate_id""",
+SELECT duplicate_id, string_agg(record_id, ', ' ORDER BY record_id) AS record_ids, string_agg(cite_source, ', ' ORDER BY record_id) AS cite_source, max(CASE WHEN n = 1 THEN title END) AS title, max(CASE WHEN n = 1 THEN doi END) AS doi FROM z GROUP BY duplicate_id""",
     _MATCH.replace("WITH f AS", "WITH RECURSIVE f AS", 1),
 )
 def _fuzzy_dedup(spark: SparkSession, sf: str) -> DataFrame:
