@@ -212,13 +212,39 @@ _REF = """SELECT record_id, list_reduce(list_transform(range(1, len(a) + 1), lam
   || ', ' || volume || coalesce('(' || issue || ')', '') || '. ' || coalesce('https://doi.org/' || doi, url, '') AS reference
 FROM (SELECT *, string_split(replace(author, 'X. Y.', 'X. Y.'), ' and ') AS raw_a, list_transform(string_split(author, ' and '), lambda x: regexp_replace(x, ', Anna$', ', A.')) AS a, upper(substr(journal, 1, 1)) || lower(substr(journal, 2)) AS j FROM bib)"""
 _bib("apa_reference", lambda b: b.select("record_id", cite.apa_reference(b).alias("reference")), _REF)
-_bib("apa_citations", lambda b: cite.apa_citations(b, "record_id"), None)
+_LETTER = "CASE WHEN {0} <= 26 THEN chr((96 + {0})::INT) ELSE chr((96 + ({0} - 1) // 26)::INT) || chr((97 + ({0} - 1) % 26)::INT) END"
+#: Author lists of the bibliography have three names at most, so no common beginning is elided.
+_CITED = """, au AS (SELECT record_id, year, unnest(string_split(author, ' and ')) AS name, generate_subscripts(string_split(author, ' and '), 1) AS p FROM bib),
+nm AS (SELECT *, regexp_replace(name, ',.*$', '') AS last, array_to_string(list_transform(string_split(trim(replace(regexp_replace(name, '^[^,]*,', ''), '.', '')), ' '), lambda x: substr(x, 1, 1)), '. ') || '.' AS initials FROM au),
+un AS (SELECT last FROM nm GROUP BY last HAVING count(DISTINCT initials) > 1),
+li AS (SELECT record_id, year, list(CASE WHEN un.last IS NULL THEN nm.last ELSE initials || ' ' || nm.last END ORDER BY p) AS l FROM nm LEFT JOIN un USING (last) GROUP BY ALL),
+ba AS (SELECT *, l[1] || CASE len(l) WHEN 1 THEN '' WHEN 2 THEN ' & ' || l[2] ELSE ' et al.' END || ' (' || year || ')' AS base FROM li),
+ki AS (SELECT DISTINCT base, l FROM ba), ck AS (SELECT base, count(*) AS kinds FROM ki GROUP BY base),
+co AS (SELECT a.base, max(CASE WHEN a.l[1] <> b.l[1] THEN 0 WHEN a.l[2] IS DISTINCT FROM b.l[2] THEN 1 WHEN a.l[3] IS DISTINCT FROM b.l[3] THEN 2 ELSE 3 END) AS c FROM ki a JOIN ki b ON a.base = b.base AND a.l <> b.l GROUP BY a.base),
+sa AS (SELECT base, l, len(l) AS n, count(*) OVER (PARTITION BY base, l) > 1 AS twice FROM ba),
+cm AS (SELECT base, max(c) AS c FROM (SELECT * FROM co UNION ALL SELECT base, n FROM sa WHERE twice) GROUP BY base),
+c1 AS (SELECT record_id, CASE WHEN count(*) OVER (PARTITION BY base) = 1 THEN base
+    WHEN kinds = 1 THEN left(base, -1) || """ + _LETTER.format("(row_number() OVER (PARTITION BY base ORDER BY record_id))") + """ || ')'
+    WHEN len(l) <= c + 2 THEN CASE len(l) WHEN 1 THEN l[1] WHEN 2 THEN l[1] || ' & ' || l[2] ELSE l[1] || ', ' || l[2] || ' & ' || l[3] END || ' (' || year || ')'
+    ELSE array_to_string(l[1:c + 1], ', ') || ' et al. (' || year || ')' END AS t FROM ba JOIN ck USING (base) LEFT JOIN cm USING (base)),
+ci AS (SELECT record_id, CASE WHEN count(*) OVER (PARTITION BY t) = 1 THEN t ELSE left(t, -1) || """ + _LETTER.format("(row_number() OVER (PARTITION BY t ORDER BY record_id))") + """ || ')' END AS citation FROM c1)
+"""
+_bib("apa_citations", lambda b: cite.apa_citations(b, "record_id"), _CITED + "SELECT * FROM ci")
 _add("year_letters", "SELECT o_orderkey, o_custkey || ' (' || year(o_orderdate) || chr((96 + row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderkey))::INT) || ')' AS citation FROM orders", "")(
     lambda s, d: adapters.table(s, d, "orders").selectExpr("o_orderkey", "o_custkey", "year(o_orderdate) as y", "row_number() over (partition by o_custkey, year(o_orderdate) order by o_orderkey) as n").select("o_orderkey", F.concat(F.col("o_custkey").cast("string"), F.lit(" ("), F.col("y").cast("string"), cite.letter(F.col("n")), F.lit(")")).alias("citation"))
 )
 
 
-@_add("record_level_table")
+_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+@_add(
+    "record_level_table",
+    _CITED.rstrip() + ", re AS (" + _REF + ") SELECT record_id AS duplicate_id, citation, reference, CASE WHEN doi IS NOT NULL THEN 'x' ELSE '' END AS \"source__DOI\", "
+    + ", ".join(f"CASE WHEN source = '{v}' THEN 'x' ELSE '' END AS \"source__{v}\"" for v in _TYPES)
+    + " FROM ci JOIN re USING (record_id) JOIN bib USING (record_id)",
+    _BIB,
+)
 def _record_level(spark: SparkSession, sf: str) -> DataFrame:
     b = adapters.bibliography(spark, sf).withColumnRenamed("record_id", "duplicate_id").withColumn("cite_source", F.concat_ws(", ", "source", F.when(F.col("doi").isNotNull(), "DOI")))
     return cite.record_level_table(b, "sources", indicator_presence="x", indicator_absence="")

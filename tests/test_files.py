@@ -158,6 +158,61 @@ def test_similar_titles_without_other_fields(spark):
     assert {(r.id1, r.id2) for r in doubtful.collect()} == want and len(want) >= 12 and max(score.values()) < 0.99
 
 
+def test_numbered_titles_stay_apart(spark):
+    rows = [(f"{i:02d}", f"Study {i:03d} about matters", "Doe, A.", "2001", None, "s") for i in range(30)]
+    rows += [(f"v{i:02d}", "Proceedings of the society", "Doe, A.", "2001", str(i), "s") for i in range(30)]
+    rows += [("d1", "Proceedings of the academy", "Doe, A.", "2001", "1", "s"), ("d2", "Proceedings of the Academy.", "Doe, A.", "2001", "1", "t")]
+    got = dedup.dedup_citations(spark.createDataFrame(rows, "record_id string, title string, author string, year string, volume string, cite_source string")).collect()
+    assert len(got) == 61 and [r.record_ids for r in got if "," in r.record_ids] == ["d1, d2"]
+
+
+def test_dialects(spark, tmp_path):
+    wos = "PT J\nAU Smith, J\n   Lee, K\nTI A title\n   goes on\nSO A Journal\nPY 2001\nVL 4\nBP 10\nEP 19\nDI 10.1/x\nUT WOS:1\nC1 Univ X\n   Univ Y\nER\n\nPT J\nAU Solo, H\nTI Other\nSO B\nPY 2002\nDI 10.1/y\nUT WOS:2\nER\n"
+    ovid = "TY  - JOUR\nID  - 1\nT1  - A title\nA1  - Smith, J.\nA1  - Lee, K.\nY1  - 2001//\nJF  - A Journal\nM1  - 77\nXT  - Article\nER  - \n"
+    files = [put(tmp_path / "w.ris", wos), put(tmp_path / "o.ris", ovid)]
+    got = {r.cite_source + r.title: r for r in reader.read_citations(spark, files, only_key_fields=False).collect()}
+    first, second = got["wA title goes on"], got["oA title"]
+    assert (first.author, first.journal, first.pages, first.doi, first.accession, first.address) == ("Smith, J and Lee, K", "A Journal", "10-19", "10.1/x", "WOS:1", "Univ X and Univ Y")
+    assert (second.author, second.journal, second.year, second.accession, second.document_type) == ("Smith, J. and Lee, K.", "A Journal", "2001", "77", "Article")
+    plain = reader.read_citations(spark, files[1:], tag_naming="generic", only_key_fields=False).first()
+    assert plain.number == "77" and plain.XT == "Article"
+    assert {"T1", "A1"} <= set(reader.read_refs(spark, files[1:], "none").columns)
+    with pytest.raises(ValueError):
+        reader.read_refs(spark, files, "no such dialect")
+
+
+def test_year_of_an_unknown_tag(spark, tmp_path):
+    text = "".join(f"TY  - JOUR\nTI  - T{i}\nZY  - {1990 + i}\nZN  - {i}\nER  - \n" for i in range(12))
+    got = reader.read_citations(spark, [put(tmp_path / "a.ris", text)]).collect()
+    assert sorted(r.year for r in got) == [str(1990 + i) for i in range(12)]
+    assert reader.read_refs(spark, [put(tmp_path / "b.ris", text.replace("ZY  - 1990", "ZY  - x").replace("ZY  - 1991", "ZY  - y"))]).columns.count("year") == 0
+
+
+def test_many_fields_and_journal_names(spark, tmp_path):
+    names = [f"JO  - Journal of {'x' * i}" for i in range(1100)]
+    got = reader.read_citations(spark, [put(tmp_path / "a.ris", "\n".join(["TY  - JOUR", "TI  - T", *names, "ER  - ", ""]))], only_key_fields=["journal_secondary"]).first()
+    assert len(got.journal_secondary.split("; ")) == 1099
+    assert got.__fields__[:3] != sorted(got.__fields__)[:3]
+    from tagweave.sources import ris
+
+    fields = spark.createDataFrame([([("a", "1"), ("b", "2"), ("c", "3")],)], "fields array<struct<field:string,text:string>>")
+    assert ris.present(fields, 3) == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        ris.present(fields, 2)
+
+
+def test_long_records_take_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tagweave.sources import ris
+
+    df = spark.createDataFrame([("TY  - JOUR\nAB  - a\n" + "more words\n" * 30000,)], "r string")
+    t = time.time()
+    assert df.select(F.size(ris.entries(F.col("r")))).first()[0] == 30002 and time.time() - t < 30
+
+
 def test_rendered_tables(spark):
     u = spark.createDataFrame([("1", "S1", "screened"), ("2", "S|2", "final")], "duplicate_id string, cite_source string, cite_label string")
     table = render.precision_sensitivity_table(counts.phase_records(u))
