@@ -84,8 +84,21 @@ def first_lines(uri: str, n: int = SNIFF_LINES) -> list[str]:
     return lines
 
 
+def delimiter_of(uri: str, lines: list[str]) -> str | None:
+    """How a file's records end, by its first lines, or by as many as its first record has; None if nothing ends them."""
+    n = len(lines)
+    while True:
+        try:
+            return detect_delimiter(lines)
+        except ValueError:
+            lines = first_lines(uri, 8 * max(n, SNIFF_LINES))
+            if len(lines) <= n:
+                return None
+            n = len(lines)
+
+
 def sniff(spark: SparkSession, files: Sequence[str]) -> list[tuple[str | None, str]]:
-    """Kind and delimiter of each file, from its first lines; one job for all files, and no more than these lines are read."""
+    """Kind and delimiter of each file, from its first lines; one job for all files, and no more is read than that takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,10 +106,7 @@ def sniff(spark: SparkSession, files: Sequence[str]) -> list[tuple[str | None, s
             for uri in b.column("uri").to_pylist():
                 lines = first_lines(uri)
                 kinds.append(detect_parser(lines))
-                try:
-                    delimiters.append(detect_delimiter(lines) if kinds[-1] in ("ris", "pubmed") else "")
-                except ValueError:
-                    delimiters.append(None)
+                delimiters.append(delimiter_of(uri, lines) if kinds[-1] in ("ris", "pubmed") else "")
             yield pa.RecordBatch.from_arrays([b.column("at"), pa.array(kinds, pa.string()), pa.array(delimiters, pa.string())], names=["at", "kind", "delimiter"])
 
     rows = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "at long, uri string").repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism)))
