@@ -186,18 +186,22 @@ def held_out() -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Gam:
     """A model of labels.quality, fitted on at most max_rows labelled documents that aren't held out, taken by a hash of the
-    id. An id with several labels counts as its smallest; null ids and labels are left out. The sample has a fixed size, so
-    it is broadcast to the documents and its features come to the driver."""
+    id. An id with several labels counts as its smallest, one with several texts as that with the least features; null ids and
+    labels are left out. The sample has a fixed size, so it is broadcast to the documents and its features, one row an id
+    however often that is repeated, come to the driver."""
     own = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("__label"))
     sample = own.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("__label").cast("double"))
+    names = ["doc_id", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             x = features(texts_of(b))
-            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())), b.column("__label")], names=["x", "y"])
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, b.column("__label")], names=names)
 
-    got = with_columns(rows, run, [T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("y", T.DoubleType())]).toPandas()
+    fields = [rows.schema["doc_id"], T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("y", T.DoubleType())]
+    got = with_columns(rows, run, fields).groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(FEATURES))
     y = got["y"].to_numpy(np.float64)
     order = np.lexsort((*x.T, y))  # sums then don't depend on the order in which rows came
