@@ -219,6 +219,24 @@ def test_minmax_estimates_are_unbiased():
     assert abs(shared - 320 / 480) < 0.1
 
 
+def chars_inside_repeats(w, n):
+    seen = Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    return sum(len(w[j]) for j in {j for k in range(len(w) - n + 1) if seen[tuple(w[k : k + n])] > 1 for j in range(k, k + n)})
+
+
+def test_repeats_of_all_lengths_against_brute_force():
+    rng = random.Random(5)
+    texts = []
+    for size in (0, 4, 5, 11, 40, 90, 300, 1000):
+        for letters in (1, 2, 6):
+            w = ["".join(rng.choices("aé", k=rng.randint(1, 4))) + str(rng.randint(0, letters)) for _ in range(size)]
+            cut = rng.randint(0, size)
+            texts.append(" ".join(w + w[cut : cut + rng.randint(0, 15)]))
+    m = quality_rules.measures([t.encode() for t in texts])
+    for n in quality_rules.NGRAM_SHARES:
+        assert m[f"dup_chars_{n}"].tolist() == [chars_inside_repeats(words(t), n) for t in texts]
+
+
 def test_repetition_rules(rows, docs, none):
     out = {}
     for r in quality_rules.repetition_rules(docs).collect():
@@ -234,7 +252,17 @@ def test_repetition_rules(rows, docs, none):
                 lines.add(line)
         assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(inside), dup)
         assert r.n_symbols == sum((t or "").count(c) for c in "#*$%&|<>")
-        assert r.base_failed == (len(w) < 10 or 100 * len(inside) > 20 * len(w)) and not (r.base_failed and r.kept)
+        assert r.base_failed == (len(w) < 10 or 100 * len(inside) > 20 * len(w))
+        lines, again = set(), 0
+        for line in (t or "").split("\n"):
+            again += sum(map(len, words(line))) if line in lines else 0
+            lines.add(line)
+        good = not r.base_failed and again <= quality_rules.LINE_SHARE * r.word_chars
+        for n, share in quality_rules.NGRAM_SHARES.items():
+            chars = chars_inside_repeats(w, n)
+            assert r[f"dup_chars_{n}"] == chars
+            good = good and chars <= share * r.word_chars
+        assert r.dup_line_chars == again and r.kept == good
     assert quality_rules.repetition_rules(none).count() == 0
 
 
@@ -540,5 +568,63 @@ def test_gam(spark, tmp_path):
     assert all((a == b).all() for a, b in zip(model.tables, again.tables, strict=True))
     kept = gam.accepted(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in out.values())
+    often = docs.unionByName(docs.where("doc_id in (1, 7)")).unionByName(docs.where("doc_id = 7"))
+    assert all((a == b).all() for a, b in zip(model.tables, gam.train(often, labels).tables, strict=True))
     nothing = gam.train(docs, labels.limit(0))
     assert {r.score for r in gam.score(docs, nothing).collect()} == {0.5} and gam.score(docs.limit(0), model).count() == 0
+
+
+def test_trees_against_brute_force():
+    rng = np.random.default_rng(4)
+    part = lambda g, h: g.sum() ** 2 / (h.sum() + 2.0)
+    for _ in range(20):
+        g, h = rng.normal(size=9), rng.random(9)
+        best = max(range(1, 9), key=lambda k: part(g[:k], h[:k]) + part(g[k:], h[k:]))
+        step = np.concatenate([np.full(len(a), a.sum() / (b.sum() + 2.0)) for a, b in ((g[:best], h[:best]), (g[best:], h[best:]))])
+        assert gam._tree(g, h, 2, 2.0) == pytest.approx(step)
+        g, h, found = rng.normal(size=(4, 5)), rng.random((4, 5)), {}
+        for i in range(1, 4):
+            for j in range(1, 5):
+                found[i, j] = sum(part(g[a, b], h[a, b]) for a in (slice(0, i), slice(i, 4)) for b in (slice(0, j), slice(j, 5)))
+        (i, j), v = max(found.items(), key=lambda x: x[1])
+        got, gain = gam._quadrants(g, h, 2.0)
+        assert gain == pytest.approx(v) and got[0, 0] == pytest.approx(g[:i, :j].sum() / (h[:i, :j].sum() + 2.0))
+        assert got[-1, -1] == pytest.approx(g[i:, j:].sum() / (h[i:, j:].sum() + 2.0))
+
+
+def test_pairs_of_features_and_lookups():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)  # neither feature tells anything by itself
+    model = gam.fit(x, y)
+    assert (0, 1) in model.pairs and ((model.score(x) > 0.5) == (y > 0)).mean() > 0.9
+    for row, p in zip(x[:50], model.score(x[:50]), strict=True):
+        s = model.intercept + sum(t[sum(c <= v for c in cut)] for cut, t, v in zip(model.cuts, model.tables, row, strict=True))
+        s += sum(t[sum(c <= row[a] for c in model.pair_cuts[a]), sum(c <= row[b] for c in model.pair_cuts[b])] for (a, b), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert p == pytest.approx(1 / (1 + math.exp(-s)))
+
+
+def test_weights_against_em_on_raw_events():
+    """Weights learnt from cells are near those that plain expectation-maximisation finds for the same events one by one."""
+    rng = np.random.default_rng(8)
+    import pandas as pd
+
+    n, types = 4000, 500
+    context = rng.integers(0, 300, n).astype(float)
+    two = np.where(rng.random(n) < 0.6, rng.integers(1, 20, n) / np.maximum(context, 20), 0.0) * (context > 0)
+    one = rng.integers(1, 50, n) / 10_000
+    bucket = [int(math.log2(c + 1)) for c in context]
+    cell = (interpolation._context(context) * interpolation.BINS + interpolation._bin(two)) * interpolation.BINS + interpolation._bin(one)
+    cells = pd.DataFrame({"cell": cell, "n": 1, "two": two, "one": one}).groupby("cell", as_index=False).sum()
+    got = interpolation.weights(cells, types)
+    for k in sorted(set(bucket)):
+        events = [(two[i], one[i], 1 / (types + 1)) for i in range(n) if bucket[i] == k]
+        w = [0.0, 0.5, 0.5] if k == 0 else [1 / 3] * 3
+        for _ in range(interpolation.EM_ROUNDS):
+            sums = [0.0] * 3
+            for p in events:
+                total = sum(a * b for a, b in zip(w, p, strict=True))
+                for j in range(3):
+                    sums[j] += w[j] * p[j] / total
+            w = [x / sum(sums) for x in sums]
+        assert got[k] == pytest.approx(w, abs=0.03)
