@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -67,6 +68,17 @@ def compare_sources(unique: DataFrame, comp_type: Sequence[str] | str = ("source
     return out
 
 
+def outside_search(compared: DataFrame) -> int:
+    """Records of compare_sources that aren't in the one label column whose name has "search" or "Search"; a warning tells of
+    them, since a search stage should have all records. 0 without such a label, or with several."""
+    stages = [c for c in compared.columns if c.startswith("label__") and ("search" in c or "Search" in c)]
+    n = compared.where(~F.col(f"`{stages[0]}`")).count() if len(stages) == 1 else 0
+    if n:
+        label = stages[0].removeprefix("label__")
+        warnings.warn(f"{n} records lack the label {label}, which others have; if it is that of all searches, a source or a merge may be missing", stacklevel=2)
+    return n
+
+
 def pairs_of(unique: DataFrame, column: str = "cite_source", facet: str | None = None) -> DataFrame:
     """duplicate_id and each of its items once."""
     rows = exploded(unique.select("duplicate_id", column, *([facet] if facet else [])), column, *([facet] if facet else []))
@@ -125,14 +137,45 @@ def set_intersections(unique: DataFrame, column: str = "cite_source", nsets: int
     return out.orderBy(*([F.desc("records"), "degree"] if order_by == "freq" else ["degree", F.desc("records")]), "items").limit(limit)
 
 
-def contributions(rows: DataFrame, facets: str = "cite_source", bars: str = "cite_label", color: str = "type", center: bool = False, first: str = "unique") -> DataFrame:
+def place(column: str, order: Sequence[str]) -> Column:
+    """Where a value stands in order, from 1; what isn't listed comes after, all in one place."""
+    at = F.lit(len(order) + 1)
+    for k, value in reversed(list(enumerate(order, 1))):
+        at = F.when(F.col(column) == value, k).otherwise(at)
+    return at
+
+
+def contributions(
+    rows: DataFrame,
+    facets: str | None = "cite_source",
+    bars: str = "cite_label",
+    color: str = "type",
+    center: bool = False,
+    first: str | None = None,
+    bar_order: Sequence[str] = (),
+    facet_order: Sequence[str] = (),
+    color_order: Sequence[str] = (),
+) -> DataFrame:
     """n for each facet, bar and colour; with center also signed_n, negative for the colour that isn't first, and the place
-    of its label. Only two colours can be centered."""
+    of its label. Only two colours can be centered; the first one, unless named, leads color_order or is "unique".
+
+    facets None is one facet. An order gives a column facet_place, bar_place or color_place: values listed come first, as
+    listed, others follow by name; the result is sorted by them."""
+    keys = [c for c in (facets, bars, color) if c]
+    require(rows, keys)
     if center and rows.select(color).distinct().limit(3).count() > 2:
         raise ValueError("center needs two colours")
-    out = rows.groupBy(facets, bars, color).agg(F.count("*").alias("n"))
-    if not center:
-        return out
+    first = first or next(iter(color_order), "unique")
+    out, by = rows.groupBy(*keys).agg(F.count("*").alias("n")), []
+    for name, column, order in (("facet_place", facets, facet_order), ("bar_place", bars, bar_order), ("color_place", color, color_order)):
+        if column and order:
+            out = out.withColumn(name, place(column, order))
+            by += [name, column]
+    out = _centered(out, color, first) if center else out
+    return out.orderBy(*by) if by else out
+
+
+def _centered(out: DataFrame, color: str, first: str) -> DataFrame:
     sign = F.when(F.col(color) == first, 1).otherwise(-1)
     most = F.max("n").over(Window.partitionBy())
     signed = out.withColumn("signed_n", sign * F.col("n"))

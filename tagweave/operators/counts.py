@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -111,6 +112,16 @@ def _rates(rows: DataFrame, total_final: Column) -> DataFrame:
     return rows.withColumn("Precision", rate(F.col("final"), F.col("Distinct_Records"))).withColumn("Recall", rate(F.col("final"), total_final))
 
 
+def absent_phases(unique: DataFrame, phases: Iterable[str] = ("screened", "final")) -> list[str]:
+    """The phases that no record is labelled with, whatever the case of letters; a warning names them."""
+    own, wanted = F.transform(tag_list("cite_label"), F.lower), list(phases)
+    found = unique.agg(*(F.max(F.coalesce(F.array_contains(own, p), F.lit(False))).alias(f"p{i}") for i, p in enumerate(wanted))).first()
+    absent = [p for p, there in zip(wanted, found, strict=True) if not there]
+    if absent:
+        warnings.warn(f"no record has the label {' or '.join(absent)}", stacklevel=2)
+    return absent
+
+
 def phase_count(unique: DataFrame, citations: DataFrame, column: str = "cite_source") -> DataFrame:
     """Source, Distinct_Records, screened, final, Precision and Recall, against the raw citations labelled final."""
     each = exploded(unique.select("duplicate_id", column, F.lower("cite_label").alias("cite_label")), column, "cite_label").where(f"{column} is not null and {column} <> '{UNKNOWN}'").distinct()

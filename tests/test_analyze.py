@@ -57,6 +57,31 @@ def test_centered_contributions(unique):
     assert all((r.signed_n > 0) == (r.type == "unique") for r in got)
 
 
+def test_contributions_in_order(unique):
+    got = analyze.contributions(analyze.count_unique(unique), center=True, bar_order=["screened", "search"], facet_order=["C", "A"], color_order=["duplicated", "unique"])
+    found = [(r.cite_source, r.cite_label, r.type) for r in got.collect()]
+    facets, bars = [x[0] for x in found], ["screened", "search", "final"]
+    assert facets == sorted(facets, key=lambda x: (["C", "A"].index(x) if x in ("C", "A") else 2, str(x)))
+    assert all(bars.index(a[1]) <= bars.index(b[1]) for a, b in zip(found, found[1:]) if a[0] == b[0])
+    assert all((r.signed_n > 0) == (r.type == "duplicated") for r in got.collect())
+    one = analyze.contributions(analyze.count_unique(unique), facets=None)
+    assert one.columns == ["cite_label", "type", "n"] and one.agg({"n": "sum"}).first()[0] == analyze.count_unique(unique).count()
+    with pytest.raises(ValueError, match="nowhere"):
+        analyze.contributions(unique, facets="nowhere", color="cite_string")
+
+
+def test_warnings_of_labels(spark, unique):
+    with pytest.warns(UserWarning, match="1 records lack the label search"):
+        assert analyze.outside_search(analyze.compare_sources(unique, "labels")) == 1
+    several = spark.createDataFrame([("1", "A", "search 1", ""), ("2", "A", "Search 2", "")], FRAME)
+    assert analyze.outside_search(analyze.compare_sources(several, "labels")) == 0
+    assert counts.absent_phases(unique) == []
+    with pytest.warns(UserWarning, match="screened or final"):
+        assert counts.absent_phases(several) == ["screened", "final"]
+    with pytest.warns(UserWarning):
+        assert counts.absent_phases(unique.limit(0)) == ["screened", "final"]
+
+
 def test_filters(unique):
     assert rows(tags.row_filter(unique, cite_source=["C"]), "duplicate_id") == [("103",), ("105",)]
     assert rows(tags.item_filter(unique, True, cite_source=["A"]), "duplicate_id", "cite_source") == [("101", "A"), ("102", "A")]
