@@ -125,6 +125,12 @@ _simple(
     f""", c AS ({_CON}) SELECT *, CASE WHEN type = 'unique' THEN n ELSE -n END AS signed_n,
 CASE WHEN n * 10 < max(n) OVER () THEN CASE WHEN type = 'unique' THEN 1 ELSE -1 END * max(n) OVER () / 10 ELSE (CASE WHEN type = 'unique' THEN n ELSE -n END) / 2 END AS label_pos FROM c""",
 )
+_simple(
+    "contributions_ordered",
+    lambda u: analyze.contributions(analyze.count_unique(u), facets=None, bar_order=["final", "search"], color_order=["duplicated", "unique"]),
+    """SELECT cite_label, type, count(*) AS n, CASE cite_label WHEN 'final' THEN 1 WHEN 'search' THEN 2 ELSE 3 END AS bar_place,
+  CASE type WHEN 'duplicated' THEN 1 WHEN 'unique' THEN 2 ELSE 3 END AS color_place FROM long GROUP BY ALL""",
+)
 _simple("legend_totals", lambda u: analyze.legend_totals(analyze.count_unique(u)), "SELECT type, type || chr(10) || '(N = ' || format('{:,}', count(*)) || ')' AS legend FROM long GROUP BY type")
 
 # counts, precision and recall
