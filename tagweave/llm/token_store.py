@@ -32,9 +32,9 @@ MAGIC, VERSION = b"TWTOKENS", 1
 _HEAD = struct.Struct("<8sIIQQQ6Q")
 #: Pieces of text whose ids a worker remembers, none longer than PIECE bytes; above this many the half goes that was not
 #: met for longest.
-REMEMBERED, PIECE = 1_000_000, 32
+REMEMBERED, PIECE = 250_000, 32
 #: Bytes of text that are encoded in one go; memory is about 30 times this.
-BATCH = 4 << 20
+BATCH = 1 << 20
 #: White space on both sides of a cut, or at it, would join matches of the pre-split pattern.
 _JOINED = re.compile(r"\s | \s").search
 _SPACE, _BLANK, _LETTER, _DIGIT, _OTHER, _ODD = range(6)
