@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,16 @@ def fields(entry: Column) -> Column:
 
 
 def records_of(spark: SparkSession, files: Iterable[str]) -> DataFrame:
-    """file and fields of each entry with more than type and key."""
-    rows = spark.read.text(list(files), wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.explode(entries(F.col("value"))).alias("entry"))
+    """file and fields of each entry with more than type and key.
+
+    Spark cuts files where a line begins with @, so a large file is read by many tasks and no row is larger than an entry.
+    A file with such a line, or a beginning, that no entry starts with is read whole."""
+    files, path = list(files), F.col("_metadata.file_path").alias("file")
+    cut = spark.read.text(files, lineSep="\n@").select("value", path)
+    head = r"^\x{FEFF}?\s*@?\w+\s*\{"
+    odd = [r.file for r in cut.where(~F.col("value").rlike(head) & (F.trim("value") != "")).select("file").distinct().collect()]  # a row a file at most
+    start = F.when(F.col("value").rlike(r"^\w"), F.concat(F.lit("@"), F.col("value"))).otherwise(F.col("value"))
+    rows = cut.join(F.broadcast(spark.createDataFrame([(f,) for f in odd], "file string")), "file", "left_anti").select("file", F.explode(entries(start)).alias("entry"))
+    if odd:
+        rows = rows.union(spark.read.text([unquote(f) for f in odd], wholetext=True).select(path, F.explode(entries(F.col("value"))).alias("entry")))
     return rows.select("file", fields(F.col("entry")).alias("fields")).where(F.size("fields") > 2)
