@@ -52,6 +52,7 @@ class Texts:
             self.width = int(at.max(initial=-1)) + 1
             self.codes = np.zeros((n, WIDTH), np.uint8)
             self.codes[row, at] = code
+            self._after = np.pad(self.codes, ((0, 0), (0, 1))).ravel()
             self.columns = np.ascontiguousarray(self.codes[:, : self.width].T)
             self.letters = len(letters) + 1
             self.places = np.zeros(n * self.letters, np.uint64)
@@ -80,6 +81,12 @@ class Texts:
         self.bag = self.bag[: max(1, min(BAG, -(-len(some) // 64)))]
         self.rest = np.bincount(r[where >= 64 * BAG], minlength=n) if len(some) > 64 * BAG else None
 
+    def bags(self) -> tuple[np.ndarray, np.ndarray | None]:
+        """Words of bits, and what is only counted or None; besides, all texts have so many as common says in common."""
+        if self.bag is None:
+            self._bags()
+        return self.bag, self.rest
+
     def same_front(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """How many of the first four characters are equal."""
         equal, out = np.ones(len(i), bool), np.zeros(len(i), np.int64)
@@ -91,13 +98,12 @@ class Texts:
 
     def may_reach(self, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
         """Whether Jaro-Winkler similarity may be least: no more characters meet than both texts have."""
-        if self.bag is None:
-            self._bags()
+        bag, rest = self.bags()
         m = np.full(len(i), self.common, np.int64)
-        for word in self.bag:
+        for word in bag:
             m += np.bitwise_count(word[i] & word[j])
-        if self.rest is not None:
-            m += np.minimum(self.rest[i], self.rest[j])
+        if rest is not None:
+            m += np.minimum(rest[i], rest[j])
         a, b = self.length[i], self.length[j]
         # a margin for rounding; with a common front of four the bound is the lowest, so most pairs need no look at theirs
         bound = (m / np.maximum(a, 1) + m / np.maximum(b, 1) + 1) / 3 + 1e-9
@@ -129,25 +135,41 @@ class Texts:
         step, base = np.arange(WIDTH + 1), j * self.letters
         free, met = np.full(len(i), ~np.uint64(0)), np.zeros(len(i), np.uint64)
         upto = np.r_[(_ONE << np.arange(WIDTH, dtype=np.uint64)) - _ONE, ~np.uint64(0)]  # the first k bits
+        at, found, inside = np.empty(len(i), np.int64), np.empty(len(i), np.uint64), np.empty(len(i), np.uint64)
         for p in range(int(a.max(initial=0))):
             window = upto[np.minimum(WIDTH, p + step + 1)] & ~upto[np.maximum(0, p - step)]
-            found = self.places[base + self.columns[p][i]] & free & window[reach]
-            found &= -found
+            np.add(base, self.columns[p].take(i), out=at)
+            self.places.take(at, out=found, mode="clip")
+            found &= free
+            found &= window.take(reach, out=inside, mode="clip")
+            np.negative(found, out=inside)
+            found &= inside
             free ^= found
-            met |= (found != 0).astype(np.uint64) << np.uint64(p)
+            np.not_equal(found, 0, out=inside, casting="unsafe")
+            inside <<= np.uint64(p)
+            met |= inside
         m, taken, front = np.bitwise_count(met).astype(np.int64), ~free, self.same_front(i, j)
         score = self._score(a, b, m, np.zeros(len(i), np.int64), front)
         look = np.flatnonzero(m > 1) if least is None else np.flatnonzero((m > 1) & (score >= least))
-        x, y, differ = met[look], taken[look], np.zeros(len(look), np.int64)
-        flat, bi, bj = self.codes.ravel(), i[look] * WIDTH, j[look] * WIDTH
-        for _ in range(int(m[look].max(initial=0))):
-            # when all are looked at, both words are 0, and both look at the last place
-            s, t = flat[bi + (np.bitwise_count((x & -x) - _ONE) & 63)], flat[bj + (np.bitwise_count((y & -y) - _ONE) & 63)]
-            differ += (s != t) & (x != 0)
-            x &= x - _ONE * (x != 0)
-            y &= y - _ONE * (y != 0)
         swaps = np.zeros(len(i), np.int64)
-        swaps[look] = differ // 2
+        left, x, y, bi, bj, differ = look, met[look], taken[look], i[look] * (WIDTH + 1), j[look] * (WIDTH + 1), np.zeros(len(look), np.int64)
+        most = None
+        if least is not None:  # places that may differ, one or two more for rounding
+            k, high = m[look], (least - front[look] * 0.1) / (1 - front[look] * 0.1)
+            most = 2 * np.floor(k * (k / a[look] + k / b[look] + 1 - 3 * high) + 1e-6).astype(np.int64) + 2
+        for step in range(int(m[look].max(initial=0))):
+            if most is not None and step % 8 == 0:  # what is surely below least isn't looked at further
+                fine = differ <= most
+                if fine.sum() < 0.8 * len(fine):
+                    swaps[left[~fine]] = differ[~fine] // 2
+                    left, x, y, bi, bj, differ, most = (z[fine] for z in (left, x, y, bi, bj, differ, most))
+            # when all are looked at, both words are 0, and both look behind the last place
+            u, v = x - _ONE, y - _ONE
+            s = self._after.take(bi + np.bitwise_count(u & ~x))
+            differ += s != self._after.take(bj + np.bitwise_count(v & ~y))
+            x &= u
+            y &= v
+        swaps[left] = differ // 2
         out[some] = self._score(a, b, m, swaps, front)
         return out
 

@@ -2,11 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import written
 
+#: Links that a task looks at together before they are stored.
+LINKS = 1 << 18
+
+
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least number of its component for each of n numbers, that links a, b join."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        # the root of either end gets the lesser one, so whole components move at once
+        for end in (a, b):
+            np.minimum.at(new, root[end], least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def forest(links: DataFrame) -> DataFrame:
+    """Fewer links (a, b) with the same components: of those that a task meets together, one for each node but the first."""
+
+    def fewer(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        ids = pa.chunked_array([c for k in (0, 1) for c in table.column(k).chunks]).combine_chunks().dictionary_encode()
+        code = ids.indices.to_numpy().astype(np.int64)
+        root = roots(code[: table.num_rows], code[table.num_rows :], len(ids.dictionary))
+        other = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(root[other])), ids.dictionary.take(pa.array(other))], schema=held[0].schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= LINKS:
+                yield fewer(held)
+                held, rows = [], 0
+        if held:
+            yield fewer(held)
+
+    return links.select("a", "b").mapInArrow(run, links.select("a", "b").schema)
+
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours (the smaller ones and itself, in small stars) become neighbours of the least of them."""

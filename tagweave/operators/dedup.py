@@ -17,8 +17,8 @@ from ..functions.similarity import jaro_winkler
 from ..functions.tags import UNKNOWN
 from ..plans.storage import written
 from ..schema import TAGS, with_missing
-from .blocks import Rows, in_blocks
-from .components import components
+from .blocks import Rows, Sift, in_blocks
+from .components import components, forest
 
 #: The fields that a pair is compared in, in the order of the table of doubtful pairs.
 FIELDS = ("title", "author", "doi", "volume", "pages", "number", "year", "abstract", "journal", "isbn")
@@ -31,6 +31,9 @@ BLOCKS: tuple[tuple[str, ...], ...] = (
 LEAST_TITLE = 0.85
 #: Without the same DOI, titles of less similarity aren't merged.
 LEAST_MERGED = 0.9
+#: Without the same DOI or like abstracts, authors of less similarity than the first aren't merged, and of less than the second
+#: (or missing) only if titles have more.
+LEAST_AUTHOR, LEAST_EQUAL = (0.8, 0.85), 0.99
 #: Records of a block that meet in one group of rows; larger blocks are dealt into parts, and every two parts meet.
 PART = 4096
 
@@ -106,19 +109,22 @@ def candidate_pairs(k: DataFrame, blocks: Sequence[Sequence[str]] = BLOCKS) -> D
     return reduce(DataFrame.union, [pairs(n) for n in range(len(blocks))])
 
 
-def compared(k: DataFrame, blocks: Sequence[Sequence[str]], merging: bool, carried: Sequence[str] = ()) -> DataFrame:
-    """The pairs of all blocks that automatic() (merging) or else doubtful() may hold for, each once: both values and the
-    Jaro-Winkler similarity of each field but the abstract, null where a value is missing, and both values of carried.
+def compared(k: DataFrame, blocks: Sequence[Sequence[str]], merging: bool, carried: Sequence[str] = (), abstracts: bool = True) -> DataFrame:
+    """The pairs of all blocks that automatic() (merging) or else doubtful() may hold for, each once: both values (merging:
+    both titles) and the Jaro-Winkler similarity of each field but the abstract, null where a value is missing, and both
+    values of carried.
 
     Pairs are made and compared where their block's rows are. No rule holds without a like title or the same DOI; none
-    merges across different DOIs, volumes or numbers without the same DOI. Of doubtful ones those with the same value of
-    duplicate_id, if k has it, are left out."""
+    merges across different DOIs, volumes or numbers without the same DOI; without abstracts none across different years,
+    either, and what authors have less similarity needs more of the title. Of doubtful ones those with the same value of
+    duplicate_id, if it is carried, are left out."""
     fields, least = [f for f in FIELDS if f != "abstract"], LEAST_MERGED if merging else LEAST_TITLE
-    both, used = [*fields, *carried], list(dict.fromkeys(c for key in blocks for c in key))
+    both, used = (["title"] if merging else [*fields, *carried]), list(dict.fromkeys(c for key in blocks for c in key))
     kinds = {f.name: f.dataType for f in k.schema.fields}
     columns = [T.StructField(f"id{i}", T.StringType()) for i in (1, 2)] + [T.StructField(f"{c}{i}", kinds[c]) for c in both for i in (1, 2)] + [T.StructField(f, T.DoubleType()) for f in fields]
     schema, apart = to_arrow_schema(T.StructType(columns)), "duplicate_id" in carried
     gaps = bool(merging and k.where("volume is null").limit(1).count())
+    sift = lambda rows: Sift(rows, "title", "doi", least)
 
     def pairs(n: int, key: Sequence[str], known: DataFrame, volumes: str) -> DataFrame:
         """volumes: all pairs, those with a gap in one volume, or those whose volumes differ."""
@@ -132,28 +138,35 @@ def compared(k: DataFrame, blocks: Sequence[Sequence[str]], merging: bool, carri
                 some = rows.differ("volume", i, j)
                 i, j = i[some], j[some]
             if merging:
-                for c in ("volume", "number", "doi"):
+                for c in ("volume", "number", "doi", *(() if abstracts else ("year",))):
                     some = rows.equal("doi", i, j) | ~rows.differ(c, i, j)
                     i, j = i[some], j[some]
             elif apart:
                 some = rows.differ("duplicate_id", i, j)
                 i, j = i[some], j[some]
-            same, title, texts = rows.equal("doi", i, j), rows.codes("title"), rows.texts("title")
-            some = np.flatnonzero(~same & (title[i] >= 0) & (title[j] >= 0))
-            like = same.copy()
-            for a in range(0, len(some), CHUNK):
-                s = some[a : a + CHUNK]
-                x, y = title[i[s]], title[j[s]]
-                maybe = np.flatnonzero(texts.may_reach(x, y, least))
-                like[s[maybe]] = texts.jaro_winkler(x[maybe], y[maybe], least) >= least
-            i, j = i[like], j[like]
             new = ~_met(rows, blocks[:n], i, j)
             i, j = i[new], j[new]
+            same, title, texts = rows.equal("doi", i, j), rows.codes("title"), rows.texts("title")
+            like, more = same | ((title[i] >= 0) & (title[j] >= 0)), np.zeros(len(i), bool)
+            table = rows.table_of("author", Texts.jaro_winkler, len(i)) if merging and not abstracts else None
+            if table is not None:
+                x, y = rows.codes("author")[i], rows.codes("author")[j]
+                author, missing = table[x, y], (x < 0) | (y < 0)
+                like &= same | missing | (author >= LEAST_AUTHOR[0])
+                more = ~same & (missing | (author < LEAST_AUTHOR[1]))
+            for high, which in ((LEAST_EQUAL, more), (least, ~more)):
+                some = np.flatnonzero(like & which & ~same)
+                if high > least:
+                    some = some[texts.may_reach(title[i[some]], title[j[some]], high)]
+                    like &= ~more
+                found = texts.jaro_winkler(title[i[some]], title[j[some]], high) >= high
+                like[some] = found
+            i, j = i[like], j[like]
             for a in range(0, len(i), CHUNK):
                 x, y = i[a : a + CHUNK], j[a : a + CHUNK]
                 yield rows.batch(x, y, both, {f: rows.scores(f, x, y, Texts.jaro_winkler) for f in fields}, schema)
 
-        return in_blocks(known.select("record_id", *dict.fromkeys([*used, *both])), key, PART, compare, columns)
+        return in_blocks(known.select("record_id", *dict.fromkeys([*used, *fields, *both])), key, PART, compare, columns, sift)
 
     def of_block(n: int) -> list[DataFrame]:
         """What merges has the same volume, or a gap there, or the same DOI; each of these is a smaller block."""
@@ -172,11 +185,12 @@ def judged(k: DataFrame, blocks: Sequence[Sequence[str]], merging: bool, carried
     """The pairs that automatic() (merging) or doubtful() holds for, with all fields. Abstracts are long and go only with
     pairs that they may count for; where no record has one, they cost nothing."""
     rule = automatic() if merging else doubtful()
-    pairs = compared(k.drop("abstract"), blocks, merging, carried)
+    abstracts = bool(k.where("abstract is not null").limit(1).count())
+    pairs = compared(k.drop("abstract"), blocks, merging, carried, abstracts)
     none = F.lit(None).cast("string")
-    guess = F.lit(1.0) if merging and k.where("abstract is not null").limit(1).count() else F.lit(None).cast("double")
+    guess = F.lit(1.0) if merging and abstracts else F.lit(None).cast("double")
     pairs = pairs.withColumns({"abstract1": none, "abstract2": none, "abstract": guess}).where(rule)
-    if not k.where("abstract is not null").limit(1).count():
+    if not abstracts:
         return pairs
     side = lambda i: k.where("abstract is not null").select(F.col("record_id").alias(f"id{i}"), F.col("abstract").alias(f"abstract{i}"))
     pairs = written(pairs.drop("abstract1", "abstract2", "abstract"), "citation-likely").join(side(1), "id1", "left").join(side(2), "id2", "left")
@@ -205,8 +219,8 @@ def automatic() -> Column:
     numbers = _at_least("volume", 0.95) | _at_least("pages", 0.95) | _at_least("number", 1.0)
     return (
         (_at_least("doi", 1.0) & _at_least("title", 0.85, True))
-        | (_at_least("title", 0.99) & _at_least("author", 0.8, True) & same_place & _at_least("doi", 1.0, True) & _at_least("pages", 0.6, True))
-        | (_at_least("title", 0.9) & _at_least("author", 0.85) & same_place & numbers & _at_least("doi", 1.0, True))
+        | (_at_least("title", LEAST_EQUAL) & _at_least("author", LEAST_AUTHOR[0], True) & same_place & _at_least("doi", 1.0, True) & _at_least("pages", 0.6, True))
+        | (_at_least("title", LEAST_MERGED) & _at_least("author", LEAST_AUTHOR[1]) & same_place & numbers & _at_least("doi", 1.0, True))
         | (_at_least("title", 0.9) & _at_least("abstract", 0.9) & _at_least("author", 0.8, True) & _same_numbers() & _at_least("doi", 1.0, True))
     )
 
@@ -249,7 +263,7 @@ def dedup_citations(raw: DataFrame, manual: bool = False, show_unknown_tags: boo
     pairs = judged(nodes, blocks, True).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
     # equal records are a pair to merge if they have a title or a DOI, as automatic() has it; they are never doubtful
     equal = same.where("node <> record_id").join(nodes.where("title is not null or doi is not null").select(F.col("record_id").alias("node")), "node", "left_semi")
-    links = pairs.union(equal.select("node", "record_id"))
+    links = forest(pairs).union(equal.select("node", "record_id"))
     groups = components(links, "citation-groups")
     unique = merged(rows, groups)
     if not manual:
