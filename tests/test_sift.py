@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from tagweave.functions.similarity import jaro_winkler_similarity
+from tagweave.operators import blocks
 from tagweave.operators.blocks import Rows, Sift, _pairs
 from tagweave.operators.components import forest, roots
 
@@ -23,8 +24,10 @@ def _table(letters, n, part=False):
 
 @pytest.mark.parametrize("letters", ["ab", "abcdefgh é", MANY])
 @pytest.mark.parametrize("part", [False, True])
-def test_whole_tiles_are_sifted(letters, part):
+@pytest.mark.parametrize("kept", [50, 1024])
+def test_whole_tiles_are_sifted(letters, part, kept, monkeypatch):
     """No pair that counts is left out, and most that don't are never given places."""
+    monkeypatch.setattr(blocks, "CACHED", kept)
     table = _table(letters, 200, part)
     rows, title, doi = Rows(table), table["title"].to_pylist(), table["doi"].to_pylist()
     first = np.array([0]) if part else np.array([0, 3, 120])
@@ -53,3 +56,13 @@ def test_links_are_few(spark):
 def test_roots_of_a_long_chain():
     order = np.random.default_rng(2).permutation(5000)
     assert (roots(order[:-1], order[1:], 5000) == 0).all()
+
+
+def test_scores_are_rounded_where_they_are_made():
+    from tagweave.functions.pairwise import Texts
+    from tagweave.plans.queries import _six_places
+
+    texts = ["MARTHA", "MARHTA", "DWAYNE", "DUANE", "DIXON", "DICKSONX"]
+    i, j = (np.ravel(x) for x in np.indices((6, 6)))
+    got = _six_places(Texts(texts), i, j).reshape(6, 6)
+    assert (got[0, 1], got[2, 3], got[4, 5], got[0, 0]) == (0.961111, 0.84, 0.813333, 1.0)
